@@ -7,11 +7,13 @@ import shutil
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows that go to a Python worker at once; texts may be long.
-BATCH_ROWS = 1000
+BATCH_ROWS = 256
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +59,36 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+FILTER_BITS = 1 << 24
+
+
+def likely(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """df without most rows whose column is not among the keys (one column of any number of rows), before df is shuffled.
+
+    The keys' hashes make a bitmap of FILTER_BITS (2 MB, whatever their number),
+    which goes to the executors. More keys than bits keep all rows; a join decides.
+    """
+    spark = df.sparkSession
+    h = F.pmod(F.xxhash64(keys.columns[0]), F.lit(FILTER_BITS)) + 1  # buckets count from 1
+    parts = keys.select(F.bitmap_bucket_number(h).alias("n"), F.bitmap_bit_position(h).alias("p")).groupBy("n").agg(F.bitmap_construct_agg("p").alias("b")).collect()
+    size = 4096
+    bits = np.zeros((FILTER_BITS // (8 * size) + 2) * size, np.uint8)
+    for n, b in parts:
+        bits[(n - 1) * size : n * size] = np.frombuffer(b, np.uint8)
+    # bit p of bucket n is hash (n - 1) * 32768 + p
+    shared = spark.sparkContext.broadcast(np.unpackbits(bits, bitorder="little").view(bool))
+
+    def run(batches):
+        known = shared.value
+        for b in batches:
+            at = b.column(b.num_columns - 1).to_numpy()
+            yield pa.RecordBatch.from_arrays(b.filter(pa.array(known[at])).columns[:-1], names)
+
+    names = df.columns
+    tagged = df.withColumn("_h", F.pmod(F.xxhash64(column), F.lit(FILTER_BITS)))
+    return tagged.mapInArrow(run, df.schema)
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of (u, v) long pairs by alternating star contraction.
 

@@ -6,8 +6,8 @@ stand, whatever was inserted before them. Chunks are deduplicated by digest: the
 first occurrence (smallest id, then place) is the original, all others repeat it.
 A repeat is a passage of `min_words` words at least that stands in another document
 too. Runs of shared chunks on one alignment show it; chunks average 32 bytes, so a
-run covers its passage but for about 40 bytes at either end, and runs that are a
-little too short are extended on the two texts themselves.
+run covers its passage but for about 40 bytes at either end, and is extended on
+the two texts themselves.
 
 Defined results: a null or empty text has no chunks. Chunks that repeat only within
 a document do not count. Rows that repeat an id count as one document. A null id sorts first and is reported as null. An empty
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import cut, small_batches, table
+from ._common import cut, likely, small_batches, table
 
 BITS = 5
 MAX_BYTES = 1024
@@ -78,54 +78,47 @@ def chunk_batch(texts: list, gear: np.ndarray):
     return one(rows), one(places), np.array(digests, np.uint64).view(np.int64), one(words), one(starts), one(ends)
 
 
-#: Runs of whole chunks with so few words are not looked at; those under `min_words` are compared byte by byte.
+#: Runs of whole chunks with fewer words are not looked at; the others are extended on the texts.
 LEAST_WORDS = 8
-BEFORE, AFTER = 1024, 2048
 
 
-def _context(docs: DataFrame, wanted: DataFrame, kind: str) -> DataFrame:
-    """(c_id, c_start, before, after): the bytes around each wanted (id, start); docs (id, text)."""
-    asked = wanted.distinct().groupBy(F.col("id").alias("w_id")).agg(F.collect_set("start").alias("starts"))
-    joined = docs.join(asked, F.col("id").eqNullSafe(F.col("w_id"))).select("id", "text", "starts")
-
-    def run(batches):
-        for b in batches:
-            ids, starts, left, right = [], [], [], []
-            for i, (text, many) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
-                raw = text.encode("utf-8", "surrogatepass")
-                for s in many:
-                    ids.append(i)
-                    starts.append(s)
-                    left.append(raw[max(0, s - BEFORE) : s])
-                    right.append(raw[s : s + AFTER])
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ids, pa.int64())), pa.array(starts, pa.int64()), pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["c_id", "c_start", "before", "after"])
-
-    return joined.mapInArrow(run, f"c_id {kind}, c_start long, before binary, after binary")
-
-
-def shared_stretch(a_before: bytes, a_after: bytes, b_before: bytes, b_after: bytes) -> tuple[int, int, int]:
-    """Bytes in common before and after a place in two texts, and the whole words in them."""
-
-    def common(x: bytes, y: bytes) -> int:
-        n = min(len(x), len(y))
-        d = np.flatnonzero(np.frombuffer(x, np.uint8, n) != np.frombuffer(y, np.uint8, n))
-        return int(d[0]) if len(d) else n
-
-    right, left = common(a_after, b_after), common(a_before[::-1], b_before[::-1])
-    text = a_before[len(a_before) - left :] + a_after[:right]
-    words = text.split()
-    n = len(words)
-    cut_left = left < len(a_before) and words and not _SPACE[text[0]] and not (left < len(a_before) and _SPACE[a_before[len(a_before) - left - 1]])
-    cut_right = right < len(a_after) and words and not _SPACE[text[-1]] and not _SPACE[a_after[right]]
-    return left, right, max(0, n - bool(cut_left) - bool(cut_right))
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    """Equal items at the beginning, in growing steps."""
+    n, at, step = min(len(x), len(y)), 0, 256
+    while at < n:
+        d = np.flatnonzero(x[at : at + step][: n - at] != y[at : at + step][: n - at])
+        if len(d):
+            return at + int(d[0])
+        at, step = at + step, step * 4
+    return n
+
+
+def stretches(a: bytes, b: bytes, anchors: list, min_words: int) -> list[tuple[int, int, int, int]]:
+    """(start in a, end in a, words, start in b) of the longest common stretches around the anchors (places in a and b)."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    out, done = [], {}
+    for s, o in sorted(anchors):
+        if s < done.get(s - o, 0):
+            continue  # within a stretch on the same alignment
+        left, right = _common(x[:s][::-1], y[:o][::-1]), _common(x[s:], y[o:])
+        done[s - o] = s + right
+        first, end = s - left, s + right
+        words = a[first:end].split()
+        n = len(words)
+        if n and first and not _SPACE[a[first]] and not _SPACE[a[first - 1]]:
+            n -= 1  # begins within a word
+        if n and end < len(a) and not _SPACE[a[end - 1]] and not _SPACE[a[end]]:
+            n -= 1
+        if n >= min_words:
+            out.append((first, end, n, o - left))
+    return out
 
 
 def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50) -> DataFrame:
     """(id, first_byte, end_byte, n_words, other_id, other_byte): passages of min_words or more that another document holds too.
 
-    other_id is the first other document that holds the passage's chunks (for the
-    first of all, the last). A run of whole chunks that stand in the same order in
-    both is extended byte by byte where its own words are too few to tell.
+    other_id is the first document that holds the passage's chunks; the passage is
+    reported there as well, with the smallest of the others.
     """
     spark = df.sparkSession
     small_batches(spark)
@@ -142,42 +135,40 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
 
     chunks = docs.mapInArrow(run, f"id {kind}, digest long, at long")
     # Chunks of very many documents are pre-aggregated; what comes back is one row a digest that two documents hold.
-    one = F.struct("id", "at")
-    twice = chunks.groupBy("digest").agg(F.min(one).alias("f"), F.max(one).alias("l")).where("not (f.id <=> l.id)")
-    found = chunks.join(twice, "digest")
-    other = F.when(F.col("id").eqNullSafe(F.col("f.id")), F.col("l")).otherwise(F.col("f"))
+    first = F.min(F.struct("id", "at")).alias("f")
+    twice = chunks.groupBy("digest").agg(first, F.max("id").alias("l")).where("not (f.id <=> l)").select("digest", F.col("f.id").alias("o_id"), F.shiftright("f.at", 24).alias("o_start"))
+    found = chunks.join(twice, "digest").where("not (id <=> o_id)")
     start, size, words = F.shiftright("at", 24), F.col("at").bitwiseAND(0xFFF), F.shiftright("at", 12).bitwiseAND(0xFFF)
-    found = found.select("id", other["id"].alias("o_id"), (start - F.shiftright(other["at"], 24)).alias("shift"), start.alias("start"), size.alias("size"), words.alias("words"))
+    found = found.select("id", "o_id", (start - F.col("o_start")).alias("shift"), start.alias("start"), size.alias("size"), words.alias("words"))
     # Runs on one alignment: a chunk's start less the sizes before it is the same within one.
     before = Window.partitionBy("id", "o_id", "shift").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     found = found.withColumn("run", F.col("start") - F.coalesce(F.sum("size").over(before), F.lit(0)))
-    runs = found.groupBy("id", "o_id", "shift", "run").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("size")).alias("end"), F.sum("words").alias("words"))
-    runs = cut(runs.where(F.col("words") >= LEAST_WORDS).drop("run"))
-    sure = runs.where(F.col("words") >= min_words).select("id", F.col("start").alias("first_byte"), F.col("end").alias("end_byte"), F.col("words").alias("n_words"), F.col("o_id").alias("other_id"), (F.col("start") - F.col("shift")).alias("other_byte"))
-    # A passage that its own runs show already need not be compared.
-    asked = runs.where(F.col("words") < min_words).withColumn("o_start", F.col("start") - F.col("shift")).drop("shift", "end", "words")
-    around = cut(_context(docs, asked.select("id", "start").unionByName(asked.select(F.col("o_id").alias("id"), F.col("o_start").alias("start"))), kind))
-    mine = around.select(*[F.col(c).alias("a_" + c) for c in around.columns])
-    both = asked.join(mine, F.col("id").eqNullSafe(F.col("a_c_id")) & (F.col("start") == F.col("a_c_start")))
-    both = both.join(around, F.col("o_id").eqNullSafe(F.col("c_id")) & (F.col("o_start") == F.col("c_start")))
+    runs = found.groupBy("id", "o_id", "shift", "run").agg(F.min("start").alias("start"), F.sum("words").alias("words")).where(F.col("words") >= LEAST_WORDS)
+    anchors = F.collect_list(F.struct("start", (F.col("start") - F.col("shift")).alias("o_start"))).alias("anchors")
+    pairs = cut(runs.groupBy("id", "o_id").agg(anchors))  # as many anchors as a document has runs
+
+    # Only documents of some pair are shuffled; first the repeating text joins its pairs, then the first one's.
+    mine = likely(docs, "id", pairs.select("id")).select(F.col("id").alias("a_id"), F.col("text").alias("a"))
+    theirs = likely(docs, "id", pairs.select("o_id")).select(F.col("id").alias("b_id"), F.col("text").alias("b"))
+    both = pairs.join(mine, F.col("id").eqNullSafe(F.col("a_id"))).select("id", "o_id", "anchors", "a")
+    both = both.join(theirs, F.col("o_id").eqNullSafe(F.col("b_id"))).select("id", "o_id", "anchors", "a", "b")
 
     def compare(batches):
-        for b in batches:
-            keep, first, end, count, there = [], [], [], [], []
-            for i, (s, o, *four) in enumerate(zip(*(c.to_pylist() for c in b.columns[2:]))):
-                left, right, n = shared_stretch(*four)
-                if n >= min_words or right >= AFTER:
-                    keep.append(i)
-                    first.append(s - left)
-                    end.append(s + right)
-                    count.append(n)
-                    there.append(o - left)
-            at = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), *(pa.array(x, pa.int64()) for x in (first, end, count)), b.column(1).take(at), pa.array(there, pa.int64())], ["id", "first_byte", "end_byte", "n_words", "other_id", "other_byte"])
-
-    near = both.select("id", "o_id", "start", "o_start", "a_before", "a_after", "before", "after")
-    near = near.mapInArrow(compare, f"id {kind}, first_byte long, end_byte long, n_words long, other_id {kind}, other_byte long")
-    return sure.unionByName(near).distinct()
+        for batch in batches:
+            keep, rows = [], []
+            for i, (anchors, a, b) in enumerate(zip(*(c.to_pylist() for c in batch.columns[2:]))):
+                got = stretches(a.encode("utf-8", "surrogatepass"), b.encode("utf-8", "surrogatepass"), [(x["start"], x["o_start"]) for x in anchors], min_words)
+                keep += [i] * len(got)
+                rows += got
+            at, cols = pa.array(keep, pa.int64()), list(zip(*rows)) if rows else [[]] * 4
+            first, end, n, there = (pa.array(c, pa.int64()) for c in cols)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), first, end, n, batch.column(1).take(at), there], ["id", "first_byte", "end_byte", "n_words", "other_id", "other_byte"])
+
+    out = cut(both.mapInArrow(compare, f"id {kind}, first_byte long, end_byte long, n_words long, other_id {kind}, other_byte long").distinct())
+    there = (F.col("other_byte") + F.col("end_byte") - F.col("first_byte")).alias("end")
+    back = out.select(F.col("other_id").alias("id"), F.col("other_byte").alias("first_byte"), there, "n_words", F.struct(F.col("id").alias("o"), "first_byte").alias("by"))
+    back = back.groupBy("id", "first_byte", "end", "n_words").agg(F.min("by").alias("by"))
+    return out.unionByName(back.select("id", "first_byte", F.col("end").alias("end_byte"), "n_words", F.col("by.o").alias("other_id"), F.col("by.first_byte").alias("other_byte")))
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50) -> DataFrame:
