@@ -50,9 +50,9 @@ def water_fill(sources: DataFrame, cap: float) -> DataFrame:
     s = s.withColumn("_weights", F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0)))
     s = s.withColumn("_capped", F.col("_ratio") * F.col("_weights") <= F.col("_left"))
     # The first that is not capped sets the level for all after it.
-    level = F.min(F.when(~F.col("_capped"), F.struct("_ratio", (F.col("_left") / F.col("_weights")).alias("level")))).over(everything)
-    s = s.withColumn("_level", level["level"])
-    target = F.when(F.col("_capped") | F.col("_level").isNull(), F.col("source_size") * F.lit(float(cap))).otherwise(F.least(F.col("weight") * F.col("_level"), F.col("source_size") * F.lit(float(cap))))
+    level = F.min(F.when(~F.col("_capped"), F.struct("_ratio", "_left", "_weights"))).over(everything)
+    s = s.withColumn("_level", level)
+    target = F.when(F.col("_capped") | F.col("_level").isNull(), F.col("source_size") * F.lit(float(cap))).otherwise(F.least(F.col("weight") * F.col("_level._left") / F.col("_level._weights"), F.col("source_size") * F.lit(float(cap))))
     return s.withColumn("target", target.cast("double")).drop("_ratio", "_left", "_weights", "_capped", "_level")
 
 
