@@ -136,7 +136,9 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
     chunks = docs.mapInArrow(run, f"id {kind}, digest long, at long")
     # Chunks of very many documents are pre-aggregated; what comes back is one row a digest that two documents hold.
     first = F.min(F.struct("id", "at")).alias("f")
+    # Kept apart, so that a digest of very many chunks is split by the skew join.
     twice = chunks.groupBy("digest").agg(first, F.max("id").alias("l")).where("not (f.id <=> l)").select("digest", F.col("f.id").alias("o_id"), F.shiftright("f.at", 24).alias("o_start"))
+    twice = cut(twice)
     found = chunks.join(twice, "digest").where("not (id <=> o_id)")
     start, size, words = F.shiftright("at", 24), F.col("at").bitwiseAND(0xFFF), F.shiftright("at", 12).bitwiseAND(0xFFF)
     found = found.select("id", "o_id", (start - F.col("o_start")).alias("shift"), start.alias("start"), size.alias("size"), words.alias("words"))
