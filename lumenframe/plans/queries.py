@@ -511,11 +511,11 @@ def c28(spark, sf):
     return rounded(out.select("image_id", L.chw(3, 5).cast("long").alias("pos"), "v"), "v")
 
 
-@query("c29_tensor_normalize", f"WITH {RGBA32}, {_STATS}, n AS (SELECT image_id, (pix.c * 4 + y) * 4 + x AS pos, round((v - mean) / std, 4) AS v FROM pix JOIN st ON st.c = pix.c) SELECT image_id, count(*) AS n, round(sum(v), 3) AS total FROM n GROUP BY image_id")
+@query("c29_tensor_normalize", f"WITH {RGBA32}, {_STATS}, n AS (SELECT image_id, (pix.c * 4 + y) * 4 + x AS pos, round((v - mean) / std, 4) AS v FROM pix JOIN st ON st.c = pix.c) SELECT image_id, count(*) AS n, round(sum(v), 4) AS total FROM n GROUP BY image_id")
 def c29(spark, sf):
     out = rounded(C.normalize(C.drop_alpha(rgba32(spark, sf)), *C.PRESETS["clip"]), "v", digits=4)
     packed = L.to_arrays(out, L.chw(4, 4)).withColumn("ok", F.assert_true(F.size("data") == 48))
-    return packed.where("ok is null").select("image_id", F.size("data").cast("long").alias("n"), F.round(F.aggregate("data", F.lit(0.0), lambda s, x: s + x), 3).alias("total"))
+    return packed.where("ok is null").select("image_id", F.size("data").cast("long").alias("n"), F.round(F.aggregate("data", F.lit(0.0), lambda s, x: s + x), 4).alias("total"))
 
 
 # ---- T: tiling (8x8 planes in tiles of 5 at steps of 3)
