@@ -7,7 +7,8 @@ probabilities, weighted by their lengths. The network is fitted on a bounded
 sample of labelled rows (`per_label` rows of a label, `windows` windows a row).
 
 Defined results: a null text, one without a letter, or a model without classes
-gives `und` with score 0. With one class that class has score 1. Null labels are
+gives `und` with score 0. Scores have six digits, which do not depend on what else
+is in a batch. With one class that class has score 1. Null labels are
 not learned from. Repeated rows get equal predictions; ties go to the label that
 is first by code point. An empty table gives an empty one. Columns other than
 the named ones are not looked at.
@@ -77,14 +78,16 @@ class ByteCNN:
             out.append(z / z.sum(axis=1, keepdims=True))
         return np.concatenate(out) if out else np.zeros((0, len(self.labels)), np.float32)
 
-    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 6, batch: int = 64, rate: float = 4e-3, seed: int = 7) -> None:
-        """Adam on the cross-entropy; gradients flow to the embedding through the pooled positions alone."""
+    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 6, batch: int = 64, rate: float = 4e-3, seed: int = 7, least_steps: int = 1000) -> None:
+        """Adam on the cross-entropy, for least_steps steps at least; gradients flow to the embedding through the pooled positions alone."""
         self.start(seed)
         r = np.random.default_rng(seed)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         s = {k: np.zeros_like(v) for k, v in self.p.items()}
         t, tall = 0, max(self.widths)
-        total = epochs * ((len(x) + batch - 1) // batch)
+        each = -(-len(x) // batch)
+        epochs = max(epochs, -(-least_steps // max(1, each)))
+        total = epochs * each
         for _ in range(epochs):
             order = r.permutation(len(x))
             for b in range(0, len(x), batch):
@@ -157,7 +160,7 @@ class ByteCNN:
         flush()
         for i in np.flatnonzero(total):
             k = int(sums[i].argmax())
-            out[i] = (self.labels[k], float(min(1.0, sums[i, k] / total[i])))
+            out[i] = (self.labels[k], round(float(min(1.0, sums[i, k] / total[i])), 6))
         return [a for a, _ in out], [b for _, b in out]
 
 
