@@ -4,8 +4,8 @@ Fixed masks pick some positions of a span of words and ignore the others, so a
 substituted word at an ignored position does not break a hit. The hashes of all
 masked spans of the benchmark are joined with those of all documents; around
 each hit the document and the item are compared word by word on that alignment,
-and the best stretch (a match counts 1, a substitution -4, so four of five words
-at least must agree) is an overlap if it has `min_words` words or covers the item.
+and the longest stretch of which four of five words agree is an overlap if it has
+`min_words` words or covers the item.
 
 Words are compared lower-cased and without punctuation. The benchmark goes to the
 executors in blocks of bounded size, each against all documents; documents are
@@ -52,13 +52,14 @@ def _keys(h: np.ndarray, mask: str, salt: int) -> np.ndarray:
 
 
 def best_stretch(same: np.ndarray) -> tuple[int, int, int]:
-    """(start, end, matches) of the stretch with the largest sum of 1 for a match and -4 otherwise."""
-    score = np.where(same, 1, -4)
-    total = np.concatenate(([0], np.cumsum(score)))
+    """(start, end, matches) of the longest stretch of which four of five words match, from a match to a match."""
+    total = np.concatenate(([0], np.cumsum(np.where(same, 1, -4))))
     low = np.minimum.accumulate(total)
-    end = int((total - low).argmax())
-    start = int(np.flatnonzero(total[: end + 1] == low[end])[-1])
-    return start, end, int(same[start:end].sum())
+    first = np.searchsorted(-low, -total, "left")  # the first place that is no higher than this one
+    end = int((np.arange(len(total)) - first).argmax())
+    start = int(first[end])
+    hit = np.flatnonzero(same[start:end])
+    return (start + int(hit[0]), start + int(hit[-1]) + 1, len(hit)) if len(hit) else (0, 0, 0)
 
 
 class Index:
