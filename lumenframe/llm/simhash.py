@@ -187,7 +187,7 @@ def _large(x: np.ndarray, ids: np.ndarray, threshold: int, cuts: list, deeper: b
             for part in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
                 if 1 < len(part):
                     out += _large(x[part], ids[part], threshold, cuts, len(part) < 0.9 * len(ids))
-        return out
+        return _forest(np.array(out, np.int64).reshape(-1, 2))
     left, out = np.arange(len(ids)), []
     while len(left):
         todo, left = [left[0]], left[1:]
