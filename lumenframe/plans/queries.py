@@ -607,12 +607,12 @@ def x6(spark, sf):
 
 
 def _texture(spark, shift):
-    """Two frames of 160x120 from one formula, the second moved by shift."""
+    """Two frames of 320x240 from one formula, the second moved by shift."""
     import math
 
-    f = lambda x, y: 128 + 50 * math.sin(x * 0.21) * math.cos(y * 0.17) + 40 * math.sin(x * 0.08 + y * 0.11)
-    frame = lambda dx, dy: [int(min(255, max(0, f(x - dx, y - dy) + 0.5))) for y in range(120) for x in range(160)]
-    return spark.createDataFrame([(0, 160, frame(0, 0), frame(*shift))], "pair_id long, width int, a array<int>, b array<int>")
+    f = lambda x, y: 128 + 42 * math.sin(0.11 * x + 0.04 * y) + 38 * math.sin(0.14 * y - 0.05 * x) + 22 * math.sin(0.33 * x + 0.27 * y) + 14 * math.sin(0.45 * y - 0.38 * x)
+    frame = lambda dx, dy: [int(min(255, max(0, f(x - dx, y - dy) + 0.5))) for y in range(240) for x in range(320)]
+    return spark.createDataFrame([(0, 320, frame(0, 0), frame(*shift))], "pair_id long, width int, a array<int>, b array<int>")
 
 
 @query("x6_block_motion")
