@@ -113,6 +113,12 @@ _PASSES = [(0, 0, 8, 8), (0, 4, 8, 8), (4, 0, 8, 4), (0, 2, 4, 4), (2, 0, 4, 2),
 
 def decode(raw: bytes) -> np.ndarray:
     """(height, width, 4) bytes, as stored; 16-bit samples keep their high byte."""
+    out = decode16(raw)
+    return (out >> 8).astype(np.uint8)
+
+
+def decode16(raw: bytes) -> np.ndarray:
+    """(height, width, 4) of 16 bits; smaller samples are stretched to the whole range."""
     w, h, depth, colour, lace = header(raw)
     if w * h > MAX_PIXELS:
         raise ValueError("too large")
@@ -136,16 +142,16 @@ def decode(raw: bytes) -> np.ndarray:
             used = a * (stride(b) + 1)
             out[y::sy, x::sx] = _samples(_unfilter(flat[at : at + used], a, stride(b), bpp), b, depth, n).reshape(a, b, n)
             at += used
-    rgba = np.full((h, w, 4), 255, np.uint8)
+    rgba = np.full((h, w, 4), 65535, np.uint16)
     if colour == 3:
-        rgba[..., :3] = palette[out[..., 0]]
+        rgba[..., :3] = palette[out[..., 0]].astype(np.uint16) * 257
         if clear:
-            rgba[..., 3] = np.pad(np.frombuffer(clear, np.uint8), (0, max(0, 256 - len(clear))), constant_values=255)[out[..., 0]]
+            rgba[..., 3] = np.pad(np.frombuffer(clear, np.uint8), (0, max(0, 256 - len(clear))), constant_values=255)[out[..., 0]].astype(np.uint16) * 257
         return rgba
     if clear and colour in (0, 2):
         key = np.array(struct.unpack(f">{n}H", clear[: 2 * n]))
-        rgba[..., 3] = np.where((out == key).all(-1), 0, 255)
-    v = out >> 8 if depth == 16 else out * (255 // ((1 << depth) - 1))
+        rgba[..., 3] = np.where((out == key).all(-1), 0, 65535)
+    v = out if depth == 16 else out * np.uint16(65535 // ((1 << depth) - 1))
     rgba[..., :3] = v[..., :1] if n < 3 else v[..., :3]
     if n in (2, 4):
         rgba[..., 3] = v[..., -1]

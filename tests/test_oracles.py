@@ -3,9 +3,10 @@
 import duckdb
 import pytest
 
-from lumenframe.plans import queries as own
+from lumenframe.plans import files, queries
 
-TABLES = "part embeddings".split()
+TABLES = "part embeddings pages".split()
+QUERIES, ORACLES = queries.QUERIES | files.QUERIES, queries.ORACLES | files.ORACLES
 
 
 @pytest.fixture(scope="module")
@@ -16,9 +17,9 @@ def duck(sf):
     return c
 
 
-@pytest.mark.parametrize("name", sorted(own.ORACLES))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_oracle(spark, sf, duck, name):
-    a, b = own.QUERIES[name](spark, sf).toPandas(), duck.execute(own.ORACLES[name]).df()
+    a, b = QUERIES[name](spark, sf).toPandas(), duck.execute(ORACLES[name]).df()
     cols = sorted(a.columns)
     assert cols == sorted(b.columns) and len(a) == len(b)
     a, b = (x[cols].sort_values(cols).reset_index(drop=True) for x in (a, b))
