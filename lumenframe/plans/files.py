@@ -6,9 +6,10 @@ import struct
 
 from pyspark.sql import functions as F
 
+from ..functions import video
 from ..operators import layout as L
 from ..sources import images, png
-from .queries import RGBA8, table
+from .queries import RGB, RGBA8, rgb, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -174,3 +175,29 @@ def s22(spark, sf):
 @query("s26_can_decode", "SELECT page_id, lower(regexp_extract(url, '([^./]*)$', 1)) IN ('jpg', 'jpeg', 'jpe', 'jfif', 'cr3', 'ico', 'cur', 'tif', 'tiff', 'gif', 'png', 'bmp', 'dib', 'pnm', 'ppm', 'pgm', 'tga') AS ok FROM pages")
 def s26(spark, sf):
     return table(spark, sf, "pages").select("page_id", images.can_decode(F.col("url")).alias("ok"))
+
+
+_YUV = "SELECT image_id, p, r * 255 AS y, g * 255 - 128 AS u, b * 255 - 128 AS w FROM rgb"
+_TO8 = lambda e: f"CAST(floor(round(least(greatest({e}, 0), 1) * 255, 9) + 0.5) AS BIGINT)"
+_LUMA = "((y - 16) / CAST(219 AS DOUBLE))"
+
+
+@query("y1_yuv_to_rgb", f"WITH {RGB}, s AS ({_YUV}) SELECT image_id, p, {_TO8(f'{_LUMA} + 1.402 * w / 224')} AS r, {_TO8(f'{_LUMA} - 1.772 * 0.114 / 0.587 * u / 224 - 1.402 * 0.299 / 0.587 * w / 224')} AS g, {_TO8(f'{_LUMA} + 1.772 * u / 224')} AS b FROM s")
+def y1(spark, sf):
+    r, g, b = video.yuv_to_rgb(F.col("r") * 255, F.col("g") * 255, F.col("b") * 255)
+    return rgb(spark, sf).select("image_id", "p", video.level(r).alias("r"), video.level(g).alias("g"), video.level(b).alias("b"))
+
+
+@query("y2_yuv_to_alpha", f"WITH {RGB} SELECT image_id, p, {_TO8('(r * 255 - 16) / CAST(219 AS DOUBLE)')} AS a FROM rgb")
+def y2(spark, sf):
+    return rgb(spark, sf).select("image_id", "p", video.alpha_plane(F.col("r") * 255).alias("a"))
+
+
+@query("y3_pq_to_nits", f"WITH {RGB}, s AS (SELECT image_id, p, CASE WHEN r <= 0 THEN 0 ELSE pow(r, 32 / CAST(2523 AS DOUBLE)) END AS x FROM rgb) SELECT image_id, p, round(10000 * pow(greatest(x - 0.8359375, 0) / (CAST(18.8515625 AS DOUBLE) - 18.6875 * x), 16384 / CAST(2610 AS DOUBLE)), 3) AS nits FROM s")
+def y3(spark, sf):
+    return rgb(spark, sf).select("image_id", "p", F.round(video.pq_to_nits(F.col("r")), 3).alias("nits"))
+
+
+@query("y4_hdr_to_srgb")
+def y4(spark, sf):
+    return video.hdr_to_srgb(rgb(spark, sf))

@@ -50,20 +50,64 @@ def is_heif(raw: bytes) -> bool:
     return bool({"heic", "heix", "hevc", "hevx", "heim", "heis", "mif1", "msf1", "avif", "avis", "mif2"} & set(brands(raw[:4096])))
 
 
+def _wide(raw: bytes, wide: bool, at: int) -> tuple[int, int]:
+    """(a number of four or two bytes, the place after it)."""
+    return (struct.unpack_from(">I", raw, at)[0], at + 4) if wide else (struct.unpack_from(">H", raw, at)[0], at + 2)
+
+
+def _items(raw: bytes, a: int, b: int) -> dict[int, str]:
+    """Item numbers and their types."""
+    kinds = {}
+    for s, e in find(raw, [b"iinf"], a, b):
+        for kind, s2, _ in walk(raw, s + (8 if raw[s] else 6), e):
+            if kind == b"infe" and raw[s2] >= 2:
+                item, at = _wide(raw, raw[s2] > 2, s2 + 4)
+                kinds[item] = raw[at + 2 : at + 6].decode("latin-1")
+    return kinds
+
+
+def heif_item(raw: bytes, kind: str) -> bytes | None:
+    """The bytes of the first item of a type, None if there is none or it lies outside the file."""
+    meta = next(find(raw, [b"meta"]), None)
+    if meta is None:
+        return None
+    a, b = meta[0] + 4, meta[1]
+    wanted = next((i for i, k in _items(raw, a, b).items() if k == kind), None)
+    number = lambda at, n: int.from_bytes(raw[at : at + n], "big")
+    data = next(find(raw, [b"idat"], a, b), (0, 0))
+    for s, _ in find(raw, [b"iloc"], a, b):
+        version, sizes = raw[s], raw[s + 4 : s + 6]
+        off, length, base, index = sizes[0] >> 4, sizes[0] & 15, sizes[1] >> 4, sizes[1] & 15 if version else 0
+        n, at = _wide(raw, version == 2, s + 6)
+        for _ in range(n):
+            item, at = _wide(raw, version == 2, at)
+            inside = version > 0 and raw[at + 1] & 15 == 1
+            at += 4 if version else 2
+            start, at = number(at, base), at + base
+            pieces, at = number(at, 2), at + 2
+            out = b""
+            for _ in range(pieces):
+                at += index
+                first, size = number(at, off) + start + (data[0] if inside else 0), number(at + off, length)
+                at += off + length
+                if item == wanted:
+                    if first + size > len(raw):
+                        return None
+                    out += raw[first : first + size] if size else raw[first:]
+            if item == wanted:
+                return out
+    return None
+
+
 def heif_info(raw: bytes) -> dict:
     """Size as displayed before rotation, coding, bits, alpha, rotation, mirror, thumbnails and number of items."""
     meta = next(find(raw, [b"meta"]), None)
     if not is_heif(raw) or meta is None:
         raise ValueError("not a HEIF")
     a, b = meta[0] + 4, meta[1]
-    wide = lambda v, at: (struct.unpack_from(">I", raw, at)[0], at + 4) if v else (struct.unpack_from(">H", raw, at)[0], at + 2)
+    wide = lambda v, at: _wide(raw, v, at)
     primary = next((wide(raw[s], s + 4)[0] for s, _ in find(raw, [b"pitm"], a, b)), None)
-    kinds = {}
-    for s, e in find(raw, [b"iinf"], a, b):
-        for kind, s2, _ in walk(raw, s + (8 if raw[s] else 6), e):
-            if kind == b"infe" and raw[s2] >= 2:
-                item, at = wide(raw[s2] > 2, s2 + 4)
-                kinds[item] = raw[at + 2 : at + 6].decode("latin-1")
+    kinds = _items(raw, a, b)
     props = [p for s, e in find(raw, [b"iprp", b"ipco"], a, b) for p in walk(raw, s, e)]
     has: dict[int, list[int]] = {}
     for s, _ in find(raw, [b"iprp", b"ipma"], a, b):
@@ -119,6 +163,15 @@ def is_cr3(raw: bytes) -> bool:
     return raw[4:12] == b"ftypcrx "
 
 
+def cr3_metadata(raw: bytes) -> dict[bytes, bytes]:
+    """The TIFF blocks CMT1 (image), CMT2 (exposure), CMT3 (maker) and CMT4 (place)."""
+    out = {}
+    for a, b in find(raw, [b"moov", b"uuid"]):
+        if raw[a : a + 16] == CR3_META:
+            out |= {k: raw[s:e] for k, s, e in walk(raw, a + 16, b) if k[:3] == b"CMT"}
+    return out
+
+
 def cr3_jpegs(raw: bytes) -> dict[str, bytes]:
     """The thumbnail, preview and full JPEGs of a CR3 file that lie wholly in the bytes given."""
     out = {}

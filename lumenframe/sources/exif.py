@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 import struct
 
-from . import png, tiff
+import numpy as np
+
+from . import boxes, png, tiff
 
 
 def _jpeg_segments(raw: bytes):
@@ -29,7 +31,7 @@ def _jpeg_segments(raw: bytes):
 
 
 def find(raw: bytes) -> bytes | None:
-    """The TIFF block of a JPEG, PNG, WebP or TIFF file, None if there is none."""
+    """The TIFF block of a JPEG, PNG, WebP, HEIF, CR3 or TIFF file, None if there is none."""
     if raw[:2] == b"\xff\xd8":
         return next((d[6:] for m, d in _jpeg_segments(raw) if m == 0xE1 and d[:6] == b"Exif\0\0"), None)
     if raw[:8] == png.SIGNATURE:
@@ -43,6 +45,11 @@ def find(raw: bytes) -> bytes | None:
                 return body[6:] if body[:6] == b"Exif\0\0" else body
             at += 8 + n + n % 2
         return None
+    if boxes.is_heif(raw):
+        body = boxes.heif_item(raw, "Exif")
+        return body[4 + struct.unpack_from(">I", body)[0] :] if body and len(body) > 8 else None
+    if boxes.is_cr3(raw):
+        return boxes.cr3_metadata(raw).get(b"CMT1")
     return raw if raw[:4] in (b"II*\0", b"MM\0*") else None
 
 
@@ -64,11 +71,45 @@ def _tables(block: bytes) -> tuple[dict, dict, dict, dict]:
     return main, sub(0x8769), sub(0x8825), thumb
 
 
+def _apart(raw: bytes) -> tuple[dict, dict, dict]:
+    """The image's, the exposure's and the place's tags; a CR3 keeps each in a block of its own."""
+    block = find(raw)
+    if block is None:
+        raise ValueError("no EXIF")
+    main, shot, place, _ = _tables(block)
+    if boxes.is_cr3(raw):
+        more = boxes.cr3_metadata(raw)
+        shot, place = (tiff.first(more[k])[0] if k in more else {} for k in (b"CMT2", b"CMT4"))
+    return main, shot, place
+
+
+def upright(p: np.ndarray, orientation: int) -> np.ndarray:
+    """The eight orientations, stored to displayed."""
+    if orientation in (5, 6, 7, 8):
+        p = p.swapaxes(0, 1)
+    if orientation in (2, 3, 6, 7):
+        p = p[:, ::-1]
+    if orientation in (3, 4, 7, 8):
+        p = p[::-1]
+    return np.ascontiguousarray(p)
+
+
+def turned(degrees: int, mirror: int | None) -> int:
+    """The orientation of an anticlockwise rotation and then a mirror (0: top to bottom, 1: left to right, None: none)."""
+    probe = np.arange(4).reshape(2, 2)
+    want = np.rot90(probe, degrees // 90)
+    want = want if mirror is None else want[:, ::-1] if mirror else want[::-1]
+    return next(k for k in range(1, 9) if (upright(probe, k) == want).all())
+
+
 def orientation(raw: bytes) -> int:
-    """1 to 8, 1 if the file does not say."""
+    """1 to 8, 1 if the file does not say. A HEIF's is its rotation and mirror."""
     try:
+        if boxes.is_heif(raw):
+            got = boxes.heif_info(raw)
+            return turned(got["rotation"], got["mirror"])
         v = (_tables(find(raw) or b"")[0].get(0x112) or (1,))[0]
-    except (ValueError, struct.error):
+    except (ValueError, IndexError, struct.error):
         return 1
     return v if isinstance(v, int) and 1 <= v <= 8 else 1
 
@@ -132,10 +173,7 @@ FIELDS = [("make", "string"), ("model", "string"), ("lens", "string"), ("taken",
 
 def record(raw: bytes) -> tuple:
     """The camera, exposure and place fields; absent ones are None."""
-    block = find(raw)
-    if block is None:
-        raise ValueError("no EXIF")
-    main, shot, place, _ = _tables(block)
+    main, shot, place = _apart(raw)
     text = lambda t, k: (t[k][0].decode("utf-8", "replace").strip() or None) if t.get(k) and isinstance(t[k][0], bytes) else None
     seconds = _ratio(shot.get(0x829A))
     iso = (shot.get(0x8827) or (None,))[0]

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import boxes, exif, gif, jpeg, png, raster, tiff
+from . import boxes, exif, gif, jpeg, ktx2, png, raster, tiff
 
 #: Results are handed on at this many bytes.
 BATCH_BYTES = 32 << 20
@@ -104,6 +104,7 @@ def _try(raw: bytes, codecs: list[Codec], one: Callable[[Codec], object]):
 
 
 def decode(raw: bytes, codecs: list[Codec] | None = None) -> np.ndarray:
+    """(height, width, 4) bytes as stored, by registered codecs first (those that the driver has, unless given)."""
     return _try(raw, (_registered if codecs is None else codecs) + CODECS, lambda c: c.decode(raw))
 
 
@@ -147,17 +148,6 @@ def decode_f32(raw: bytes) -> np.ndarray:
     return (decode_u16(raw) / np.float32(65535)).astype(np.float32)
 
 
-def upright(p: np.ndarray, orientation: int) -> np.ndarray:
-    """The eight EXIF orientations."""
-    if orientation in (5, 6, 7, 8):
-        p = p.swapaxes(0, 1)
-    if orientation in (2, 3, 6, 7):
-        p = p[:, ::-1]
-    if orientation in (3, 4, 7, 8):
-        p = p[::-1]
-    return np.ascontiguousarray(p)
-
-
 def target(w: int, h: int, box_w: int, box_h: int, cover: bool = False) -> tuple[int, int]:
     """Size within (or over) a box; never larger than the source, a side of 0 does not bind."""
     ratios = [b / s for b, s in ((box_w, w), (box_h, h)) if b > 0]
@@ -201,7 +191,7 @@ def thumbnail(raw: bytes) -> np.ndarray:
     if abs(w / h - want) > 0.02 * want:
         cw, ch = (min(w, max(1, int(h * want + 0.5))), h) if w / h > want else (w, min(h, max(1, int(w / want + 0.5))))
         p = p[(h - ch) // 2 : (h - ch) // 2 + ch, (w - cw) // 2 : (w - cw) // 2 + cw]
-    return upright(p, exif.orientation(raw))
+    return exif.upright(p, exif.orientation(raw))
 
 
 def decode_scaled(raw: bytes, box_w: int, box_h: int, cover: bool = False, embedded: bool = False, codecs: list[Codec] | None = None) -> tuple[np.ndarray, str]:
@@ -210,7 +200,7 @@ def decode_scaled(raw: bytes, box_w: int, box_h: int, cover: bool = False, embed
     An embedded picture is used, if asked for, where it is at least as large as the result.
     """
     w, h, _, kind = probe(raw, codecs)
-    turn = exif.orientation(raw) if kind in ("jpeg", "tiff") else 1
+    turn = exif.orientation(raw)
     up = (h, w) if turn >= 5 else (w, h)
     dw, dh = target(*up, box_w, box_h, cover)
     if embedded and (dw, dh) != up:
@@ -228,8 +218,8 @@ def decode_scaled(raw: bytes, box_w: int, box_h: int, cover: bool = False, embed
         body = raw if kind == "jpeg" else _cr3(raw)
         a, b = (dh, dw) if turn >= 5 else (dw, dh)
         m = next((m for m in range(1, 9) if jpeg.scaled(w, m) >= a and jpeg.scaled(h, m) >= b), 8)
-        return shrink(upright(jpeg.decode(body, m), turn), dw, dh), f"jpeg {m}/8"
-    return shrink(upright(decode(raw, codecs), turn), dw, dh), "full"
+        return shrink(exif.upright(jpeg.decode(body, m), turn), dw, dh), f"jpeg {m}/8"
+    return shrink(exif.upright(decode(raw, codecs), turn), dw, dh), "full"
 
 
 def frames(raw: bytes, codecs: list[Codec] | None = None) -> Iterator[tuple[np.ndarray, int]]:
@@ -250,7 +240,7 @@ def _pixels(p: np.ndarray) -> tuple:
 
 
 def _weigh(row: tuple) -> int:
-    return sum(v.nbytes if isinstance(v, np.ndarray) else len(v) if isinstance(v, (bytes, str, list)) else 8 for v in row)
+    return sum(v.nbytes if isinstance(v, np.ndarray) else len(v) if isinstance(v, (bytes, str)) else 8 for v in row)
 
 
 def _each(df: DataFrame, id_col: str, content: str, many: Callable[[bytes], Iterator[tuple]], fields: list) -> DataFrame:
@@ -311,7 +301,7 @@ def probe_rows(df: DataFrame, id_col: str = "path", content: str = "content") ->
 def decode_rows(df: DataFrame, id_col: str = "path", content: str = "content", oriented: bool = False) -> DataFrame:
     """(id, width, height, data, error): four bytes a pixel, as stored or upright."""
     codecs = list(_registered)
-    return _each(df, id_col, content, _single(lambda r: _pixels(upright(decode(r, codecs), exif.orientation(r)) if oriented else decode(r, codecs))), _PIXELS)
+    return _each(df, id_col, content, _single(lambda r: _pixels(exif.upright(decode(r, codecs), exif.orientation(r)) if oriented else decode(r, codecs))), _PIXELS)
 
 
 def decode_u16_rows(df: DataFrame, id_col: str = "path", content: str = "content") -> DataFrame:
@@ -435,6 +425,18 @@ def heif_rows(df: DataFrame, id_col: str = "path", content: str = "content") ->
     return _each(df, id_col, content, _single(lambda r: tuple((g := boxes.heif_info(r))[f[0]] for f in fields)), fields)
 
 
+def ktx2_rows(df: DataFrame, id_col: str = "path", content: str = "content") -> DataFrame:
+    """(id, level, width, height, format, has_alpha, srgb, data, error): a row a mip level; data is null where the payload needs a transcoder."""
+
+    def many(raw: bytes):
+        g = ktx2.info(raw)
+        for k, (w, h, *_) in enumerate(g["levels"]):
+            yield k, w, h, g["coding"], g["has_alpha"], g["srgb"], ktx2.decode(raw, k).tobytes() if g["coding"] == "plain" else None
+
+    fields = [("level", "int", pa.int32()), *_PIXELS[:2], ("format", "string", pa.string()), ("has_alpha", "boolean", pa.bool_()), ("srgb", "boolean", pa.bool_()), _PIXELS[2]]
+    return _each(df, id_col, content, many, fields)
+
+
 def encode_jpeg_rows(df: DataFrame, id_col: str, data: str, width: int, channels: int, quality: int = 90) -> DataFrame:
     """(id, jpeg, error) of binary samples, row by row."""
     return _each(df, id_col, data, _single(lambda r: (jpeg.encode(np.frombuffer(r, np.uint8).reshape(-1, width, channels), quality),)), [("jpeg", "binary", pa.binary())])

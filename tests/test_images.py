@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from lumenframe.sources import boxes, images, jpeg, png
+from lumenframe.sources import boxes, exif, images, jpeg, ktx2, png
 from test_readers import RGB, animation, bmp24, exif_block, tif
 
 HOSTILE = [None, b"", b"BM", b"GIF89a", b"II*\0\x08\0\0\0\xff\xff", b"\0\0\1\0\5\0", b"P6 9 9 255 ", b"\xff\xd8\xff\xc0\0\4aa", b"\0\0\0\x18ftypheic\0\0\0\0mif1"]
@@ -59,7 +59,7 @@ def test_orientations():
     p = np.arange(6, dtype=np.uint8).reshape(2, 3, 1)
     want = {1: [[0, 1, 2], [3, 4, 5]], 2: [[2, 1, 0], [5, 4, 3]], 3: [[5, 4, 3], [2, 1, 0]], 4: [[3, 4, 5], [0, 1, 2]], 5: [[0, 3], [1, 4], [2, 5]], 6: [[3, 0], [4, 1], [5, 2]], 7: [[5, 2], [4, 1], [3, 0]], 8: [[2, 5], [1, 4], [0, 3]]}
     for k, v in want.items():
-        assert images.upright(p, k)[..., 0].tolist() == v
+        assert exif.upright(p, k)[..., 0].tolist() == v
 
 
 def test_scaled_takes_the_cheapest_way():
@@ -110,6 +110,12 @@ def test_heif_description(spark):
     assert (r.width, r.height, r.coding, r.bits, r.rotation, r.has_alpha, r.items, r.error) == (640, 480, "hvc1", 10, 90, True, 3, None)
     assert [tuple(t) for t in r.thumbnails] == [(2, 160, 120)]
     assert images.probe(raw) == (640, 480, 4, "heif")
+    assert exif.orientation(raw) == 8
+    assert [exif.turned(d, None) for d in (0, 90, 180, 270)] == [1, 8, 3, 6] and exif.turned(0, 0) == 4 and exif.turned(0, 1) == 2
+    block = b"\0\0\0\6Exif\0\0" + exif_block()
+    iloc = box(b"iloc", b"\1\0\0\0", b"\x44\0", b"\0\1", b"\0\4", b"\0\1", b"\0\0", b"\0\1", (0).to_bytes(4, "big"), len(block).to_bytes(4, "big"))
+    photo = box(b"ftyp", b"heic", full, b"mif1heic") + box(b"meta", full, box(b"iinf", full, b"\0\1", infe(4, b"Exif")), iloc, box(b"idat", block))
+    assert exif.record(photo)[0] == "Abc"
     assert boxes.pick_thumbnail([(160, 120), (320, 240), (640, 480)], 200) == 1 and boxes.pick_thumbnail([(16, 12), (32, 24)], 200) == 1
 
 
@@ -123,6 +129,10 @@ def test_cr3_previews():
         return head + moov + box(b"uuid", boxes.CR3_PREVIEW, b"\0" * 8, box(b"PRVW", b"\0" * 16, mid)) + box(b"mdat", full)
 
     raw = build(len(build(0)) - len(full))
+    shot = tif(RGB, tags={274: (3, [3]), 271: (2, b"Abc\0")})
+    meta = head + box(b"moov", box(b"uuid", boxes.CR3_META, box(b"CMT1", shot), box(b"CMT2", tif(RGB, tags={0x8827: (3, [800])}))))
+    got = dict(zip([f for f, _ in exif.FIELDS], exif.record(meta)))
+    assert (got["make"], got["iso"], got["orientation"]) == ("Abc", 800, 3)
     assert boxes.cr3_jpegs(raw) == {"thumbnail": small, "preview": mid, "full": full}
     assert images.probe(raw)[:2] == (32, 32) and images.decode(raw).shape == (32, 32, 4)
     assert images.decode_scaled(raw, 12, 12, embedded=True)[1] == "preview"
@@ -133,3 +143,23 @@ def test_can_decode(spark):
     kinds = ["image/png", "IMAGE/JPEG; q=1", "a/b/c.TIF", "jpg", "image/heic", "text/html", "x", "", None]
     d = spark.createDataFrame([(i, k) for i, k in enumerate(kinds)], "i int, k string").orderBy("i")
     assert [r.ok for r in d.select(images.can_decode(d.k).alias("ok")).collect()] == [True] * 4 + [False] * 5
+
+
+@pytest.mark.parametrize("scheme", [0, 2, 3])
+def test_ktx2(spark, scheme):
+    import struct
+    import zlib
+
+    import zstandard
+
+    pack = {0: bytes, 2: zstandard.ZstdCompressor().compress, 3: zlib.compress}[scheme]
+    small = np.ascontiguousarray(RGB[:2, :3])
+    bodies = [pack(RGB.tobytes()), pack(small.tobytes())]
+    head = ktx2.SIGNATURE + struct.pack("<9I", 23, 1, 7, 5, 0, 0, 1, 2, scheme) + b"\0" * 32
+    at = 80 + 48
+    index = struct.pack("<6Q", at, len(bodies[0]), 105, at + len(bodies[0]), len(bodies[1]), 18)
+    raw = head + index + b"".join(bodies)
+    rows = images.ktx2_rows(table(spark, [raw, raw[:90], None])).orderBy("id", "level").collect()
+    assert [(r.width, r.height, r.format) for r in rows[:2]] == [(7, 5, "plain"), (3, 2, "plain")] and rows[2].error and rows[3].error
+    assert (np.frombuffer(rows[0].data, np.uint8).reshape(5, 7, 4)[..., :3] == RGB).all()
+    assert (ktx2.decode(raw, 1)[..., :3] == small).all()
