@@ -92,7 +92,7 @@ def srgb_to_linear(v: Column) -> Column:
 
 
 def linear_to_srgb(v: Column) -> Column:
-    return F.when(v <= 0.0031308, v * 12.92).otherwise(F.pow(F.greatest(v, F.lit(0.0)), F.lit(1 / 2.4)) * 1.055 - 0.055)
+    return F.when(v <= 0.0031308, v * 12.92).otherwise(F.pow(v, F.lit(1 / 2.4)) * 1.055 - 0.055)
 
 
 def gray(r: Column, g: Column, b: Column) -> Column:
@@ -116,7 +116,7 @@ def premultiply(v: Column, a: Column) -> Column:
 
 
 def unpremultiply(v: Column, a: Column) -> Column:
-    return F.when(a == 0, F.lit(0)).otherwise(F.least(F.lit(255), F.floor((v * 255 + F.floor(a / 2)) / F.when(a == 0, 1).otherwise(a)))).cast("long")
+    return F.when(a == 0, F.lit(0)).when(a.isNotNull() & v.isNotNull(), F.least(F.lit(255), F.floor((v * 255 + F.floor(a / 2)) / F.when(a == 0, 1).otherwise(a)))).cast("long")
 
 
 def _hue(r: Column, g: Column, b: Column, top: Column, d: Column) -> Column:
