@@ -319,30 +319,44 @@ def _plane(p: _Part, m: int) -> np.ndarray:
     return np.clip(np.floor(out + 128.5), 0, 255)
 
 
-def decode(raw: bytes, m: int = 8) -> np.ndarray:
-    """(height, width, 4) bytes at m/8 of the size, rounded up; chroma is repeated, not smoothed."""
-    w, h, parts, adobe = _coefficients(raw)
+def _stack(parts: list[_Part], w: int, h: int, m: int) -> np.ndarray:
+    """(height, width, components) samples, those of smaller components repeated."""
     top_h, top_v = max(p.h for p in parts), max(p.v for p in parts)
-    dw, dh = scaled(w, m), scaled(h, m)
     planes = []
     for p in parts:
-        v = _plane(p, m)
-        ys, xs = np.arange(dh) * p.v // top_v, np.arange(dw) * p.h // top_h
-        planes.append(v[ys[:, None], xs[None, :]])
-    out = np.full((dh, dw, 4), 255, np.uint8)
+        ys, xs = np.arange(h) * p.v // top_v, np.arange(w) * p.h // top_h
+        planes.append(_plane(p, m)[ys[:, None], xs[None, :]])
+    return np.stack(planes, axis=-1)
+
+
+def to_rgb(v: np.ndarray) -> np.ndarray:
+    """Red, green and blue of (..., 3) samples in YCbCr, whole numbers."""
+    y, cb, cr = v[..., 0], v[..., 1] - 128.0, v[..., 2] - 128.0
+    rgb = np.stack([y + 1.402 * cr, y - 0.344136 * cb - 0.714136 * cr, y + 1.772 * cb], axis=-1)
+    return np.clip(np.floor(rgb + 0.5), 0, 255)
+
+
+def samples(raw: bytes) -> np.ndarray:
+    """(height, width, components) bytes without any change of colour space."""
+    w, h, parts, _ = _coefficients(raw)
+    return _stack(parts, w, h, 8).astype(np.uint8)
+
+
+def decode(raw: bytes, m: int = 8) -> np.ndarray:
+    """(height, width, 4) bytes at m/8 of the size, rounded up; chroma is repeated, not smoothed."""
+    w, h, parts, adobe = _coefficients(raw)
+    v = _stack(parts, scaled(w, m), scaled(h, m), m)
+    out = np.full((*v.shape[:2], 4), 255, np.uint8)
     if len(parts) == 1:
-        out[..., :3] = planes[0][..., None]
+        out[..., :3] = v
         return out
-    rgb = np.stack(planes[:3], axis=-1)
-    letters = bytes(p.key for p in parts[:3]) == b"RGB"
+    rgb, letters = v[..., :3], bytes(p.key for p in parts[:3]) == b"RGB"
     if (len(parts) == 3 and adobe != 0 and not (adobe is None and letters)) or (len(parts) == 4 and adobe == 2):
-        y, cb, cr = rgb[..., 0], rgb[..., 1] - 128, rgb[..., 2] - 128
-        rgb = np.stack([y + 1.402 * cr, y - 0.344136 * cb - 0.714136 * cr, y + 1.772 * cb], axis=-1)
-        rgb = np.clip(np.floor(rgb + 0.5), 0, 255)
+        rgb = to_rgb(rgb)
         if len(parts) == 4:
             rgb = 255 - rgb
     if len(parts) == 4:
-        rgb = np.floor(rgb * planes[3][..., None] / 255 + 0.5)
+        rgb = np.floor(rgb * v[..., 3:] / 255 + 0.5)
     out[..., :3] = rgb
     return out
 

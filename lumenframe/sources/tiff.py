@@ -11,6 +11,8 @@ import zlib
 
 import numpy as np
 
+from . import jpeg
+
 MAX_PIXELS = 1 << 28
 MAX_SIDE = 1 << 24
 MAX_ENTRIES = 65536
@@ -163,7 +165,9 @@ class Layout:
         if not (1 <= self.bits <= 16 or self.bits in (32, 64)) or (self.format == 3 and self.bits not in (16, 32, 64)):
             raise ValueError("bad depth")
         self.codec, self.predictor, self.planar = _one(tags, 259, 1), _one(tags, 317, 1), _one(tags, 284, 1) == 2
-        if self.codec not in CODECS:
+        if self.codec == 7 and (self.bits != 8 or self.format != 1):
+            raise ValueError("JPEG samples must be bytes")
+        if self.codec not in CODECS and self.codec != 7:
             raise ValueError(f"compression {self.codec} is not read")
         self.photometric = _one(tags, 262, 1)
         if 322 in tags:
@@ -195,6 +199,27 @@ def _unpack(lines: np.ndarray, per: int, bits: int, e: str, kind: int) -> np.nda
     return np.where(v >> (bits - 1) & 1, v - (1 << bits), v) if kind == 2 else v
 
 
+def _jpeg_chunk(layout: Layout, body: bytes) -> np.ndarray:
+    """Samples of one JPEG stream, whose tables may be kept apart; YCbCr becomes RGB."""
+    tables = _one(layout.tags, 347, b"")
+    if len(tables) > 4:
+        body = tables[:-2] + body[2:]
+    v = jpeg.samples(body)
+    return jpeg.to_rgb(v).astype(np.uint8) if layout.photometric == 6 and v.shape[2] == 3 else v
+
+
+def _paste(out: np.ndarray | None, v: np.ndarray, layout: Layout, window: tuple[int, int, int, int], plane: int, i: int, j: int) -> np.ndarray:
+    """Puts the part of chunk (i, j) that lies in the window into the result."""
+    x, y, w, h = window
+    if out is None:
+        out = np.zeros((h, w, layout.samples), v.dtype.newbyteorder("="))
+    left, top = i * layout.chunk_w, j * layout.chunk_h
+    x0, x1, y0, y1 = max(x, left), min(x + w, left + v.shape[1]), max(y, top), min(y + h, top + v.shape[0])
+    at = slice(plane, plane + 1) if layout.planar else slice(None)
+    out[y0 - y : y1 - y, x0 - x : x1 - x, at] = v[y0 - top : y1 - top, x0 - left : x1 - left]
+    return out
+
+
 def read_samples(raw: bytes, layout: Layout, window: tuple[int, int, int, int] | None = None) -> np.ndarray:
     """(height, width, samples) in the file's own type; the window is (x, y, width, height)."""
     x, y, w, h = window or (0, 0, layout.width, layout.height)
@@ -207,6 +232,12 @@ def read_samples(raw: bytes, layout: Layout, window: tuple[int, int, int, int] |
             raise ValueError("chunk missing")
         rows = layout.chunk_h if layout.tiled else min(layout.chunk_h, layout.height - j * layout.chunk_h)
         body = raw[layout.offsets[k] : layout.offsets[k] + layout.lengths[k]]
+        if layout.codec == 7:
+            v = _jpeg_chunk(layout, body)[:rows, :cw]
+            if v.shape != (rows, cw, n):
+                raise ValueError("cut short")
+            out = _paste(out, v, layout, (x, y, w, h), plane, i, j)
+            continue
         if _one(layout.tags, 266, 1) == 2:
             body = body.translate(_MIRROR)
         flat = CODECS[layout.codec](body, rows * stride)
@@ -222,12 +253,7 @@ def read_samples(raw: bytes, layout: Layout, window: tuple[int, int, int, int] |
             v = np.cumsum(v.view(v.dtype.newbyteorder("=")) if v.dtype.byteorder == "=" else v.astype(v.dtype.newbyteorder("=")), axis=1, dtype=v.dtype.newbyteorder("="))
             if layout.bits not in (8, 16, 32, 64):
                 v = v & ((1 << layout.bits) - 1)
-        if out is None:
-            out = np.zeros((h, w, layout.samples), v.dtype.newbyteorder("="))
-        left, top = i * cw, j * layout.chunk_h
-        x0, x1, y0, y1 = max(x, left), min(x + w, left + cw), max(y, top), min(y + h, top + rows)
-        at = slice(plane, plane + 1) if layout.planar else slice(None)
-        out[y0 - y : y1 - y, x0 - x : x1 - x, at] = v[y0 - top : y1 - top, x0 - left : x1 - left]
+        out = _paste(out, v, layout, (x, y, w, h), plane, i, j)
     return out
 
 
@@ -260,7 +286,7 @@ def decode(raw: bytes, top: int = 255) -> np.ndarray:
         if p in (0, 1):
             colours = 1
             out[..., :3] = top - s[..., :1] if p == 0 else s[..., :1]
-        elif p == 2 and n >= 3:
+        elif n >= 3 and (p == 2 or (p == 6 and layout.codec == 7)):
             colours = 3
             out[..., :3] = s[..., :3]
         elif p == 5 and n >= 4:

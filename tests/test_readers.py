@@ -6,7 +6,7 @@ import zlib
 import numpy as np
 import pytest
 
-from lumenframe.sources import exif, gif, png, raster, tiff
+from lumenframe.sources import exif, gif, jpeg, png, raster, tiff
 
 RGB = np.random.default_rng(3).integers(0, 256, (5, 7, 3)).astype(np.uint8)
 
@@ -189,6 +189,23 @@ def test_tiff_codecs(codec, pack, predictor):
     assert (tiff.decode(tif(p, codec=codec, pack=pack, tags={317: (3, [predictor])}))[..., :3] == RGB).all()
 
 
+def test_tiff_jpeg():
+    """Whole streams in each strip, and tables kept apart; YCbCr as JPEG has it, or samples stored as they are."""
+    y, x = np.mgrid[:16, :24]
+    p = np.stack([y * 9, x * 7, y + x], axis=-1).astype(np.uint8)
+    pack = lambda d: jpeg.encode(np.frombuffer(d, np.uint8).reshape(-1, 24, 3), 98)
+    got = tiff.decode(tif(p, codec=7, photometric=6, pack=pack, rows=8))
+    assert np.abs(got[..., :3].astype(int) - p).max() <= 6
+    whole = pack(p.tobytes())
+    cut = whole.index(b"\xff\xc0")
+    start, tables = whole[:2] + whole[cut:], whole[:cut] + b"\xff\xd9"
+    raw = tif(p, codec=7, photometric=6, pack=lambda d: start, rows=16, tags={347: (7, tables)})
+    assert (tiff.decode(raw)[..., :3] == jpeg.decode(whole)[..., :3]).all()
+    as_is = tiff.decode(tif(p, codec=7, photometric=2, pack=lambda d: whole, rows=16))
+    assert (as_is[..., :3] == jpeg.samples(whole)).all()
+    assert tiff.read_samples(raw, tiff.Layout(*tiff.first(raw)), (3, 2, 4, 5)).shape == (5, 4, 3)
+
+
 def test_tiff_lzw_widths():
     data = np.random.default_rng(1).integers(0, 8, 9000).astype(np.uint8).tobytes()
     table, width, out, text, size = {bytes([i]): i for i in range(256)}, 9, [(256, 9)], b"", 258
@@ -227,7 +244,7 @@ def test_tiff_kinds():
     alpha = tif(np.array([[[50, 100, 0, 100]]], np.uint8), tags={338: (3, [1])}, rows=1)
     assert tiff.decode(alpha)[0, 0].tolist() == [128, 255, 0, 100]
     with pytest.raises(ValueError):
-        tiff.decode(tif(g, codec=7))
+        tiff.decode(tif(g, codec=6))
 
 
 def test_geotiff():
