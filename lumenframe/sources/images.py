@@ -443,11 +443,15 @@ def encode_jpeg_rows(df: DataFrame, id_col: str, data: str, width: int, channels
 
 
 def to_pixels(df: DataFrame) -> DataFrame:
-    """(image_id, y, x, c, v) of rows (id, width, height, data binary): the layout of the other operators."""
-    byte = lambda p: F.conv(F.hex(F.substring("data", p + 1, 1)), 16, 10).cast("long")
-    pos = F.sequence(F.lit(0).cast("long"), F.col("width").cast("long") * F.col("height") * 4 - 1)
-    d = df.where("data is not null").select(F.col("id").alias("image_id"), "width", "data", F.explode(pos).alias("p"))
-    return d.select("image_id", F.floor(F.col("p") / (F.col("width") * 4)).alias("y"), F.floor(F.col("p") / 4 % F.col("width")).cast("long").alias("x"), (F.col("p") % 4).alias("c"), byte(F.col("p").cast("int")).alias("v"))
+    """(image_id, y, x, c, v) of rows (id, width, height, data binary): the layout of the other operators.
+
+    Images are cut into lines and those into pixels, so that no row drags a whole image along.
+    """
+    stride = F.col("width") * 4
+    d = df.where("data is not null").select(F.col("id").alias("image_id"), "width", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("height") - 1), lambda y: F.substring("data", y * stride + 1, stride))).alias("y", "line"))
+    d = d.select("image_id", "y", "line", F.explode(F.sequence(F.lit(0), F.length("line") - 1)).alias("p"))
+    v = F.conv(F.hex(F.substring("line", F.col("p") + 1, 1)), 16, 10).cast("long")
+    return d.select("image_id", F.col("y").cast("long").alias("y"), F.floor(F.col("p") / 4).alias("x"), (F.col("p") % 4).cast("long").alias("c"), v.alias("v"))
 
 
 #: What `can_decode` knows: format, MIME types, extensions, whether pixels are read.
