@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import re
 
 import numpy as np
@@ -71,6 +72,24 @@ def test_overlaps_against_alignment(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [2, 3, 4, 5] and kept.columns == docs(spark, []).columns
 
 
+def test_every_counted_stretch_holds_a_seed():
+    spans = [(len(m), sum(1 << i for i, c in enumerate(m) if c == "1")) for m in decontaminate.MASKS]
+    held = lambda n, miss: any(not (m << at) & miss for size, m in spans for at in range(n - size + 1))
+    for n in range(10, 20):  # from 20 words on, ten of them have two substitutions at most
+        for k in range(n // 5 + 1):
+            assert all(held(n, sum(1 << i for i in c)) for c in itertools.combinations(range(1, n - 1), k))
+    assert all(held(10, 1 << a | 1 << b) for a, b in itertools.combinations(range(10), 2))
+
+
+def test_substituted_items_are_found():
+    w = words(7, 60)
+    index = decontaminate.Index([0, 1], [" ".join(w[:10]), " ".join(w)], 10)
+    cases = [("zzz" if i in c else x for i, x in enumerate(w[:10])) for c in itertools.combinations(range(1, 9), 2)]
+    every_fifth = [("zzz" if i % 5 == phase else x for i, x in enumerate(w)) for phase in range(5)]
+    found = index.overlaps(*decontaminate.Hasher().many([" ".join(x) for x in cases + every_fifth]))
+    assert {(r, i) for r, i, *_ in found} >= {(r, 0) for r in range(28)} | {(28 + p, 1) for p in range(5)}
+
+
 def test_exact_items_are_found(spark, sf):
     norm = lambda t: " " + " ".join(re.findall(r"\w+", (t or "").lower())) + " "
     items = [(r.item_id, norm(r.text)) for r in table(spark, sf, "benchmark").collect()]
