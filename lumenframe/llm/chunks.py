@@ -7,7 +7,10 @@ first occurrence (smallest id, then place) is the original, all others repeat it
 A repeat is a passage of `min_words` words at least that stands in another document
 too. Runs of shared chunks on one alignment show it; chunks average 32 bytes, so a
 run covers its passage but for about 40 bytes at either end, and is extended on
-the two texts themselves.
+the two texts themselves. The first documents that hold a passage's chunks may be
+others that hold only parts of it. So in all runs of shared chunks, whoever shares
+them, every window of `min_words` words is keyed too and leads to the first
+document that holds just that window.
 
 Defined results: a null or empty text has no chunks. Chunks that repeat only within
 a document do not count. Rows that repeat an id count as one document. A null id sorts first and is reported as null. An empty
@@ -93,13 +96,26 @@ def _common(x: np.ndarray, y: np.ndarray) -> int:
     return n
 
 
-def stretches(a: bytes, b: bytes, anchors: list, min_words: int) -> list[tuple[int, int, int, int]]:
-    """(start in a, end in a, words, start in b) of the longest common stretches around the anchors (places in a and b)."""
+def _whole_words(text: bytes, start: int, end: int) -> int:
+    """Words between a word's start and an end that may cut one."""
+    return len(text[start:end].split()) - bool(start < end < len(text) and not _SPACE[text[end - 1]] and not _SPACE[text[end]])
+
+
+def stretches(a: bytes, b: bytes, anchors: list, min_words: int, windows: list = ()) -> list[tuple[int, int, int, int]]:
+    """(start in a, end in a, words, start in b) of the longest common stretches around the anchors (places in a and b).
+
+    windows: (place in a, place in b, last place in a) of shared windows, which count
+    only if the stretches found so far do not cover them in both texts.
+    """
     x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
     out, done = [], {}
-    for s, o in sorted(anchors):
+    for s, o, *last in [*sorted(anchors), *sorted(windows)]:
         if s < done.get(s - o, 0):
             continue  # within a stretch on the same alignment
+        if last and any(x <= s and _whole_words(a, last[0], y) >= min_words for x, y, *_ in out):
+            there = last[0] - s + o
+            if any(z <= o and _whole_words(b, there, z + y - x) >= min_words for x, y, _, z in out):
+                continue  # shared words that repeat within the stretches
         left, right = _common(x[:s][::-1], y[:o][::-1]), _common(x[s:], y[o:])
         done[s - o] = s + right
         first, end = s - left, s + right
@@ -114,11 +130,42 @@ def stretches(a: bytes, b: bytes, anchors: list, min_words: int) -> list[tuple[i
     return out
 
 
+def shared_runs(at: np.ndarray) -> list[int]:
+    """start, end, start, end ... of the runs of adjoining chunks with LEAST_WORDS or more, from chunks as `repeats` packs them."""
+    at = np.sort(at)
+    start, end, words = at >> 24, (at >> 24) + (at & 0xFFF), (at >> 12) & 0xFFF
+    end = np.maximum.accumulate(end)
+    first = np.flatnonzero(np.r_[True, start[1:] > end[:-1]])
+    last = np.r_[first[1:], len(at)] - 1
+    keep = np.add.reduceat(words, first) >= LEAST_WORDS
+    return np.stack([start[first], end[last]], axis=1)[keep].ravel().tolist()
+
+
+def windows(raw: bytes, runs: list[int], gear: np.ndarray, min_words: int) -> tuple[list[int], list[int], list[int]]:
+    """Keys, starts and first words of all windows of min_words whole words in the runs and the chunks next to them."""
+    space = np.r_[True, _SPACE[np.frombuffer(raw, np.uint8)], True]
+    first, last = np.flatnonzero(space[:-2] & ~space[1:-1]), np.flatnonzero(~space[1:-1] & space[2:]) + 1
+    edge = np.r_[0, boundaries(raw, gear)]
+    keys, starts, places, done = [], [], [], 0
+    for lo, hi in zip(runs[::2], runs[1::2]):
+        lo = edge[max(0, np.searchsorted(edge, max(0, lo - 16)) - 1)]  # a passage's first 16 bytes may be cut otherwise
+        hi = edge[min(len(edge) - 1, np.searchsorted(edge, hi, "right"))]
+        a, b = max(done, int(np.searchsorted(first, lo))), int(np.searchsorted(last, hi, "right")) - min_words + 1
+        if a >= b:
+            continue
+        s = first[a:b].tolist()
+        keys += [xxhash.xxh3_64_intdigest(raw[x:y]) for x, y in zip(s, last[a + min_words - 1 : b + min_words - 1].tolist())]
+        starts += s
+        places += range(a, b)
+        done = b
+    return keys, starts, places
+
+
 def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50) -> DataFrame:
     """(id, first_byte, end_byte, n_words, other_id, other_byte): passages of min_words or more that another document holds too.
 
-    other_id is the first document that holds the passage's chunks; the passage is
-    reported there as well, with the smallest of the others.
+    other_id is the first document that holds the passage's chunks or a window of its
+    words; the passage is reported there as well, with the smallest of the others.
     """
     spark = df.sparkSession
     small_batches(spark)
@@ -139,14 +186,43 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
     # Kept apart, so that a digest of very many chunks is split by the skew join.
     twice = chunks.groupBy("digest").agg(first, F.max("id").alias("l")).where("not (f.id <=> l)").select("digest", F.col("f.id").alias("o_id"), F.shiftright("f.at", 24).alias("o_start"))
     twice = cut(twice)
-    found = chunks.join(twice, "digest").where("not (id <=> o_id)")
+    held = cut(chunks.join(twice, "digest").select("id", "at", "o_id", "o_start"))
+    found = held.where("not (id <=> o_id)")
     start, size, words = F.shiftright("at", 24), F.col("at").bitwiseAND(0xFFF), F.shiftright("at", 12).bitwiseAND(0xFFF)
     found = found.select("id", "o_id", (start - F.col("o_start")).alias("shift"), start.alias("start"), size.alias("size"), words.alias("words"))
     # Runs on one alignment: a chunk's start less the sizes before it is the same within one.
     before = Window.partitionBy("id", "o_id", "shift").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     found = found.withColumn("run", F.col("start") - F.coalesce(F.sum("size").over(before), F.lit(0)))
     runs = found.groupBy("id", "o_id", "shift", "run").agg(F.min("start").alias("start"), F.sum("words").alias("words")).where(F.col("words") >= LEAST_WORDS)
-    anchors = F.collect_list(F.struct("start", (F.col("start") - F.col("shift")).alias("o_start"))).alias("anchors")
+
+    def join_up(batches):
+        for b in batches:
+            got = [shared_runs(np.array(x, np.int64)) for x in b.column(1).to_pylist()]
+            some = pa.array([bool(x) for x in got], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(some), pa.array([x for x in got if x], pa.list_(pa.int64()))], ["id", "runs"])
+
+    def key_windows(batches):
+        gear = gear_table()
+        for b in batches:
+            rows, keys, starts, places = [], [], [], []
+            for i, (text, runs) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
+                k, s, p = windows(text.encode("utf-8", "surrogatepass"), runs, gear, min_words) if text else ([], [], [])
+                rows += [i] * len(k)
+                keys += k
+                starts += s
+                places += p
+            # Windows that begin within min_words words of each other on one alignment are of one passage.
+            part = pa.array(np.array(places, np.int64) // min_words)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(starts, pa.int64()), part], ["id", "key", "start", "part"])
+
+    shared = cut(held.groupBy("id").agg(F.collect_list("at").alias("at")).mapInArrow(join_up, f"id {kind}, runs array<long>"))
+    whole = likely(docs, "id", shared.select("id")).select(F.col("id").alias("t_id"), "text")
+    whole = whole.join(shared, F.col("t_id").eqNullSafe(F.col("id"))).select("id", "text", "runs")
+    keyed = cut(whole.mapInArrow(key_windows, f"id {kind}, key long, start long, part long"))
+    again = keyed.groupBy("key").agg(F.min(F.struct("id", "start")).alias("f"), F.max("id").alias("l")).where("not (f.id <=> l)").select("key", F.col("f.id").alias("o_id"), F.col("f.start").alias("o_start"))
+    same = keyed.join(again, "key").where("not (id <=> o_id)").groupBy("id", "o_id", (F.col("start") - F.col("o_start")).alias("shift"), "part").agg(F.min("start").alias("start"), F.max("start").alias("last"))
+    runs = runs.select("id", "o_id", "shift", "start", F.lit(None).cast("long").alias("last")).unionByName(same.select("id", "o_id", "shift", "start", "last"))
+    anchors = F.collect_list(F.struct("start", (F.col("start") - F.col("shift")).alias("o_start"), "last")).alias("anchors")
     pairs = cut(runs.groupBy("id", "o_id").agg(anchors))  # as many anchors as a document has runs
 
     # Only documents of some pair are shuffled; first the repeating text joins its pairs, then the first one's.
@@ -159,7 +235,9 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
         for batch in batches:
             keep, rows = [], []
             for i, (anchors, a, b) in enumerate(zip(*(c.to_pylist() for c in batch.columns[2:]))):
-                got = stretches(a.encode("utf-8", "surrogatepass"), b.encode("utf-8", "surrogatepass"), [(x["start"], x["o_start"]) for x in anchors], min_words)
+                chunked = [(x["start"], x["o_start"]) for x in anchors if x["last"] is None]
+                whole = [(x["start"], x["o_start"], x["last"]) for x in anchors if x["last"] is not None]
+                got = stretches(a.encode("utf-8", "surrogatepass"), b.encode("utf-8", "surrogatepass"), chunked, min_words, whole)
                 keep += [i] * len(got)
                 rows += got
             at, cols = pa.array(keep, pa.int64()), list(zip(*rows)) if rows else [[]] * 4

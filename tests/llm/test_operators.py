@@ -187,6 +187,17 @@ def test_shared_passages(spark):
     assert chunks.repeats(docs(spark, [])).count() == 0
 
 
+def test_passages_whose_halves_stand_elsewhere(spark):
+    texts, cases = [], range(8)
+    for i in cases:
+        p = words(300 + i, 80)
+        texts += [f"{' '.join(words(400 + i, 20))} {' '.join(p[:44])}", f"{' '.join(p[36:])} {' '.join(words(500 + i, 20))}"]
+    for i in [*cases, *cases]:
+        texts.append(f"{' '.join(words(600 + len(texts), 30))} {' '.join(words(300 + i, 80))} {' '.join(words(700 + len(texts), 30))}")
+    got = {(r.id, r.other_id, r.n_words) for r in chunks.repeats(docs(spark, texts)).collect()}
+    assert got == {x for i in cases for x in ((16 + i, 24 + i, 80), (24 + i, 16 + i, 80))}
+
+
 def test_boundaries_resist_shifts():
     gear = chunks.gear_table()
     raw = " ".join(words(9, 500)).encode()
