@@ -11,8 +11,8 @@ are kept. Pages with an article have one level: any text. Without, the level is
 a share of the page's densest window and lines that are mostly links count zero.
 
 Defined results: a null or empty page, and one without text, gives the empty
-text. Unclosed, misnested or cut-off markup is read as far as it goes: an
-unclosed boilerplate element hides only its own line. Character references are
+text. Unclosed, misnested or cut-off markup is read as far as it goes: a
+boilerplate element ends where HTML implies it, or with the element around it. Character references are
 decoded; white space within a block becomes one space. Repeated rows are each
 extracted. Columns other than the named ones are not looked at.
 """
@@ -45,6 +45,10 @@ NAMES = frozenset(
     "share sharing sidebar sidebars signup skip social sponsor sponsored subscribe subscription toolbar topbar widget widgets".split()
 )
 WINDOW = 3
+#: Elements that end at the next start tag of one of these, or where the element around them ends.
+_P_END = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split())
+_GROUPS = frozenset("tbody thead tfoot".split())
+IMPLIED = {"p": _P_END, "li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr"} | _GROUPS, "td": {"td", "th", "tr"} | _GROUPS, "th": {"td", "th", "tr"} | _GROUPS, "option": {"option", "optgroup"}, "tbody": _GROUPS, "thead": _GROUPS, "tfoot": _GROUPS, "optgroup": {"optgroup"}}
 
 
 def _named(attrs: str) -> bool:
@@ -61,6 +65,16 @@ def _named(attrs: str) -> bool:
     return False
 
 
+def _close_implied(stack: list[str], name: str) -> None:
+    """Drops from the open elements what a start tag of this name ends."""
+    for i in range(len(stack) - 1, -1, -1):
+        if name in IMPLIED.get(stack[i], ()):
+            del stack[i:]
+            return
+        if stack[i] in BLOCKS and stack[i] not in IMPLIED:
+            return
+
+
 def lines(page: str) -> list[tuple[str, bool, float]]:
     """(text, within an article or main element, share of text in links) of each line of the stripped page."""
     page = _SKIP.sub(" ", page.replace("\x00", ""))
@@ -71,8 +85,9 @@ def lines(page: str) -> list[tuple[str, bool, float]]:
             ends[m[2].lower()] = k  # the last closing tag of this name
     out: list[tuple[str, bool, float]] = []
     parts: list[str] = []
-    linked = total = inside = hidden = depth = link = 0
-    skipping = ""
+    linked = total = inside = hidden = link = 0
+    around: list[str] = []  # open block elements
+    within: list[str] = []  # open elements from the hidden one on
 
     def add(text: str) -> None:
         nonlocal linked, total
@@ -94,29 +109,49 @@ def lines(page: str) -> list[tuple[str, bool, float]]:
         at = m.end()
         name, close = m[2].lower(), bool(m[1])
         if hidden:
-            if name == skipping and name not in VOID:
-                depth += -1 if close else 1
-                if depth == 0:
+            if name in VOID:
+                continue
+            if not close:
+                _close_implied(within, name)
+                if within:
+                    within.append(name)
+                    continue
+            elif name in within:
+                while within.pop() != name:
+                    pass
+                if not within:
                     hidden = 0
                     line()
-            continue
+                continue
+            elif name not in around:
+                continue
+            hidden, within = 0, []  # by a sibling, or by the end of an element around it
+            line()
         if name == "a":
             link = 0 if close else 1
         if name == "br":
             add(" ")
         if name not in BLOCKS and not (not close and name in DROPPED):
             if not close and name not in VOID and m[3] and _named(m[3]) and ends.get(name, -1) > k:
-                hidden, skipping, depth = 1, name, 1
+                hidden, within = 1, [name]
             continue
         line()
+        if not close:
+            _close_implied(around, name)
+        elif name in around:
+            while around.pop() != name:
+                pass
         if close:
             if name in ("article", "main"):
                 inside = max(0, inside - 1)
             continue
         bad = name in DROPPED or (name == "header" and not inside) or (name not in ("article", "main", "body", "html") and bool(m[3]) and _named(m[3]))
-        if bad and name not in VOID and ends.get(name, -1) > k:
-            hidden, skipping, depth = 1, name, 1
-        elif name in ("article", "main"):
+        if bad and name not in VOID and (name == "p" or ends.get(name, -1) > k):
+            hidden, within = 1, [name]
+            continue
+        if name in BLOCKS and name not in VOID:
+            around.append(name)
+        if name in ("article", "main"):
             inside += 1
     add(page[at:])
     line()

@@ -341,6 +341,20 @@ def test_extraction(body, text):
     assert extract.main_text(PAGE % body) == text
 
 
+@pytest.mark.parametrize(
+    "body,text",
+    [
+        ('<article><p class="notice">x<p>real</p><p>more</p></article>', "real\nmore"),
+        ('<article><ul><li class="ad">x<p>y<li>real</li><li>more</ul><p>end</p></article>', "real\nmore\nend"),
+        ('<article><div><p class="ad">x</div><p>real</p></article>', "real"),
+        ('<article><div><span class="ad">x</div><p>real</p><span>more</span></article>', "real\nmore"),
+        ('<article><div class="ad">x<div>y</div><p>z</div><p>real</p></article>', "real"),
+    ],
+)
+def test_hiding_ends_where_html_ends_it(body, text):
+    assert extract.main_text(PAGE % body) == text
+
+
 def test_extraction_edges(spark):
     assert [extract.main_text(x) for x in (None, "", "<", "<p", "<nav>open", "<!-- x")] [:2] == ["", ""]
     rows = spark.createDataFrame([(1, None, None), (None, "u", "<article>x" + " y" * 50_000 + "</article>")], "page_id long, url string, html string")
