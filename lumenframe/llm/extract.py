@@ -3,12 +3,13 @@
 Markup is stripped into lines, one a block element. Parts that the markup itself
 names as menus, headers, footers, sidebars, notices, adverts, forms, scripts,
 styles or reader comments are stripped with it, and so is all outside an
-article or main element where there is one; a line with no text left has length
-zero. The lengths are summed over sliding windows of lines. The main text begins
-at a surge point, where the sum jumps to the level of running text, and ends at
-the dive point, where it falls to nothing; all lines with text between the two
-are kept. Pages with an article have one level: any text. Without, the level is
-a share of the page's densest window and lines that are mostly links count zero.
+article or main element where there is one; what is stripped leaves one line of
+length zero, tags alone leave none. The lengths are summed over sliding windows of lines. The main text begins
+before the first surge point, where the sum jumps to the level of running text,
+and ends after the last, each where the sum falls to nothing; all lines with text
+between the two are kept. Pages with an article have one level: any text. Without,
+the level is a share of the page's densest window and lines that are mostly links
+count zero.
 
 Defined results: a null or empty page, and one without text, gives the empty
 text. Unclosed, misnested or cut-off markup is read as far as it goes: a
@@ -97,10 +98,11 @@ def lines(page: str) -> list[tuple[str, bool, float]]:
             total += n
             linked += n if link else 0
 
-    def line() -> None:
+    def line(gap: bool = False) -> None:
         nonlocal linked, total, parts
         text = " ".join(html.unescape("".join(parts)).split())
-        out.append((text, inside > 0, linked / total if total else 0.0))
+        if text or gap:
+            out.append((text, inside > 0, linked / total if total else 0.0))
         parts, linked, total = [], 0, 0
 
     at = 0
@@ -121,12 +123,12 @@ def lines(page: str) -> list[tuple[str, bool, float]]:
                     pass
                 if not within:
                     hidden = 0
-                    line()
+                    line(True)
                 continue
             elif name not in around:
                 continue
             hidden, within = 0, []  # by a sibling, or by the end of an element around it
-            line()
+            line(True)
         if name == "a":
             link = 0 if close else 1
         if name == "br":
@@ -165,22 +167,16 @@ def main_lines(found: list[tuple[str, bool, float]]) -> list[str]:
     if not size.any():
         return []
     block = np.convolve(size, np.ones(WINDOW, np.int64))[WINDOW - 1 :]  # sum over this line and those after it
-    level = 0.0 if marked else 0.25 * block.max()
-    keep, i, n = [], 0, len(size)
-    spans = []
-    while i < n:
-        if size[i] and block[i] > level:  # surge
-            j = i
-            while j < n and (block[j] > 0 or size[j]):  # dive: no text in the window
-                j += 1
-            spans.append((i, j))
-            i = j
-        i += 1
-    if not marked and spans:
-        spans = [max(spans, key=lambda s: size[s[0] : s[1]].sum())]
-    for a, b in spans:
-        keep += [found[k][0] for k in range(a, b) if size[k]]
-    return keep
+    if marked:
+        return [found[k][0] for k in np.flatnonzero(size)]
+    level = 0.25 * block.max()
+    surge = np.flatnonzero((size > 0) & (block > level))
+    a, b = int(surge[0]), int(surge[-1])
+    while (before := np.flatnonzero(size[max(0, a - WINDOW) : a])).size:  # shorter text next to it
+        a = max(0, a - WINDOW) + int(before[0])
+    while (after := np.flatnonzero(size[b + 1 : b + 1 + WINDOW])).size:
+        b += 1 + int(after[-1])
+    return [t for t, _, _ in found[a : b + 1] if t]
 
 
 def main_text(page: str | None) -> str:

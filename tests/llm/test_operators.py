@@ -355,6 +355,24 @@ def test_hiding_ends_where_html_ends_it(body, text):
     assert extract.main_text(PAGE % body) == text
 
 
+@pytest.mark.parametrize(
+    "body",
+    [
+        "<section><h2>A</h2><p>{0}</p></section><section><h2>B</h2><p>{0}</p></section>",
+        "<div><p>A</p><p>{0}</p></div><div><div><p>B</p></div></div><div><p>{0}</p></div>",
+        "<div><p>A</p><p>{0}</p><table><tbody><tr><td>B</td></tr></tbody></table><p>{0}</p></div>",
+    ],
+)
+def test_pages_without_article_are_kept_whole(body):
+    long = "some words " * 20
+    assert extract.main_text(PAGE % body.format(long)).split() == f"A {long} B {long}".split()
+
+
+def test_long_paragraphs_and_links_drop_no_text():
+    body = "<div>" + "<p>short text here</p>" * 9 + "<p><a href=x>a link</a></p><p>" + "very long " * 500 + "</p></div>"
+    assert extract.main_text(PAGE % body).split() == ("short text here " * 9 + "a link " + "very long " * 500).split()
+
+
 def test_extraction_edges(spark):
     assert [extract.main_text(x) for x in (None, "", "<", "<p", "<nav>open", "<!-- x")] [:2] == ["", ""]
     rows = spark.createDataFrame([(1, None, None), (None, "u", "<article>x" + " y" * 50_000 + "</article>")], "page_id long, url string, html string")
