@@ -62,6 +62,12 @@ def base62_crc(body: str) -> str:
     return out.rjust(6, "0")
 
 
+def card_ends(run: str) -> list[int]:
+    """Ends of the digit groups up to which the run has 13 digits or more, longest first: an expiry date may follow the number."""
+    ends = [g.end() for g in re.finditer("[0-9]+", run)]
+    return [e for e in reversed(ends) if sum(c not in " -" for c in run[:e]) >= 13]
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for i, d in enumerate(reversed([int(c) for c in digits])):
@@ -117,9 +123,11 @@ def scan(text: str | None, words: ahocorasick.Automaton) -> list[tuple[str, int,
                     out.append((kind, at, m.end()))
         elif kind == "card":
             m = _CARD.match(text, at)
-            if m and luhn(re.sub("[ -]", "", m[1])):
-                done[kind] = m.end()
-                out.append((kind, m.start(1), m.end(1)))
+            for end in card_ends(m[1]) if m else ():
+                if luhn(re.sub("[ -]", "", m[1][:end])):
+                    done[kind] = m.start(1) + end
+                    out.append((kind, m.start(1), m.start(1) + end))
+                    break
         else:
             m = _TOKEN[kind].match(text, at)
             if m and base62_crc(m[2]) == m[3]:

@@ -125,6 +125,14 @@ def test_secrets_against_plain_patterns(spark, sf):
             assert q[i - 1000].n_hex == sum(k == "hex" for k, _, _ in spans)
 
 
+def test_card_before_an_expiry_date():
+    for number in ("4111 1111 1111 1111", "4111-1111-1111-1111", "4111111111111111"):
+        for after in (" 12/27", " 12 27", "-12", "", " end"):
+            text = f"card: {number}{after}"
+            assert [x for x in secrets.scan(text, secrets.automaton()) if x[0] == "card"] == [("card", 6, 6 + len(number))]
+    assert not [x for x in secrets.scan("card: 4111 1111 1111 1112 12/27", secrets.automaton()) if x[0] == "card"]
+
+
 def test_mask_secrets(spark):
     got = [r.text for r in secrets.mask_secrets(docs(spark, [None, "a token=abcdefghijklmn b"])).orderBy("doc_id").collect()]
     assert got == [None, "a <secret> b"]
