@@ -9,31 +9,80 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that go to a Python worker at once; texts may be long.
-BATCH_ROWS = 256
+#: What an operator works on at a time in a Python worker: so many rows and bytes, or one longer row.
+#: What Spark sends there at once is bounded by spark.sql.execution.arrow.maxBytesPerBatch (64 MB).
+SLICE_ROWS, SLICE_BYTES = 512, 8 << 20
+
+
+def quoted(name: str) -> str:
+    """A top-level column's name as Spark reads it, dots and backticks included."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def named(name: str) -> Column:
+    return F.col(quoted(name))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound what one Arrow batch holds."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+def sliced(batches, *columns: int, rows: int = SLICE_ROWS, size: int = SLICE_BYTES):
+    """The batches in slices of at most `rows` rows and, but for single longer rows, `size` bytes of the text or binary columns named."""
+    for b in batches:
+        if b.num_rows <= 1:
+            yield b
+            continue
+        total = np.zeros(b.num_rows, np.int64)
+        for c in columns:
+            total += pc.fill_null(pc.binary_length(b.column(c)), 0).to_numpy(zero_copy_only=False)
+        ends, at = np.cumsum(total), 0
+        while at < b.num_rows:
+            most = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right"))
+            n = max(1, min(rows, most - at))
+            yield b.slice(at, n)
+            at += n
+
+
+def map_rows(df: DataFrame, run) -> DataFrame:
+    """df.mapInArrow of a function that keeps df's columns, whatever their names are."""
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    return plain.mapInArrow(run, plain.schema).toDF(*df.columns)
+
+
+def ranked(df: DataFrame, order: list, name: str = "rank") -> DataFrame:
+    """df in a total order with each row's place from 0, without one task for all rows.
+
+    Rows are range-partitioned and sorted; the driver gets one count a partition.
+    The places are those of the order, however Spark cuts the ranges; rows that are
+    equal in it take places in turn.
+    """
+    place = F.monotonically_increasing_id()  # partition << 33 | place in it
+    spread = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", place))
+    part, inside = F.shiftright("_m", 33), F.col("_m").bitwiseAND((1 << 33) - 1)
+    before, offsets = 0, []
+    for p, n in sorted(spread.groupBy(part.alias("p")).count().collect()):
+        offsets.append((p, before))
+        before += n
+    start = F.create_map(*[F.lit(v) for pair in offsets for v in pair])[part] if offsets else F.lit(0)
+    return spread.withColumn(name, (start + inside).cast("long")).drop("_m")
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where it is unset (tests, a single machine) a temporary folder is used.
+    Only a local master may go without it (tests): then a temporary folder is used.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        own = spark.sparkContext.getConf().get("spark.lumenframe.own.dir", "")
-        found = own or _own_dir()
+        master = spark.sparkContext.master
+        if master.startswith("local-cluster") or not master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = _own_dir()
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -50,7 +99,19 @@ def _own_dir() -> str:
 
 
 def new_folder(spark: SparkSession, kind: str) -> str:
-    return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    """A folder's name in the shared one. What is written there goes when the application ends."""
+    folder = f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    # Only what exists can be marked, and Spark's writers want their own folder new.
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return f"{folder}/data"
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -62,31 +123,43 @@ def cut(df: DataFrame) -> DataFrame:
 FILTER_BITS = 1 << 24
 
 
-def likely(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
-    """df without most rows whose column is not among the keys (one column of any number of rows), before df is shuffled.
+def known(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which of the hashes (longs) a Bitmap's bits hold."""
+    at = hashes & (FILTER_BITS - 1)
+    return ((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
+
 
-    The keys' hashes make a bitmap of FILTER_BITS (2 MB, whatever their number),
-    which goes to the executors. More keys than bits keep all rows; a join decides.
+class Bitmap:
+    """Which hashes, modulo FILTER_BITS, occur among the keys (one column of any number of rows): 2 MB, whatever their number.
+
+    Keys that are hashes already, as longs, stand for themselves.
     """
-    spark = df.sparkSession
-    h = F.pmod(F.xxhash64(keys.columns[0]), F.lit(FILTER_BITS)) + 1  # buckets count from 1
-    parts = keys.select(F.bitmap_bucket_number(h).alias("n"), F.bitmap_bit_position(h).alias("p")).groupBy("n").agg(F.bitmap_construct_agg("p").alias("b")).collect()
-    size = 4096
-    bits = np.zeros((FILTER_BITS // (8 * size) + 2) * size, np.uint8)
-    for n, b in parts:
-        bits[(n - 1) * size : n * size] = np.frombuffer(b, np.uint8)
-    # bit p of bucket n is hash (n - 1) * 32768 + p
-    shared = spark.sparkContext.broadcast(np.unpackbits(bits, bitorder="little").view(bool))
-
-    def run(batches):
-        known = shared.value
-        for b in batches:
-            at = b.column(b.num_columns - 1).to_numpy()
-            yield pa.RecordBatch.from_arrays(b.filter(pa.array(known[at])).columns[:-1], names)
-
-    names = df.columns
-    tagged = df.withColumn("_h", F.pmod(F.xxhash64(column), F.lit(FILTER_BITS)))
-    return tagged.mapInArrow(run, df.schema)
+
+    def __init__(self, keys: DataFrame, hashed: bool = False) -> None:
+        h = F.pmod(F.col(keys.columns[0]) if hashed else F.xxhash64(keys.columns[0]), F.lit(FILTER_BITS)) + 1  # buckets count from 1
+        parts = keys.select(F.bitmap_bucket_number(h).alias("n"), F.bitmap_bit_position(h).alias("p")).groupBy("n").agg(F.bitmap_construct_agg("p").alias("b")).collect()
+        size = 4096
+        bits = np.zeros((FILTER_BITS // (8 * size) + 2) * size, np.uint8)
+        for n, b in parts:
+            bits[(n - 1) * size : n * size] = np.frombuffer(b, np.uint8)
+        self.shared = keys.sparkSession.sparkContext.broadcast(bits)  # bit p of bucket n is hash (n - 1) * 32768 + p
+
+    def keep(self, df: DataFrame, column: str) -> DataFrame:
+        """df without most rows whose column is not among the keys, before df is shuffled. More keys than bits keep all rows."""
+        shared, names = self.shared, df.columns
+
+        def run(batches):
+            bits = shared.value
+            for b in batches:
+                yield pa.RecordBatch.from_arrays(b.filter(pa.array(known(bits, b.column(b.num_columns - 1).to_numpy()))).columns[:-1], names)
+
+        tagged = df.withColumn("_h", F.pmod(F.xxhash64(column), F.lit(FILTER_BITS)))
+        return tagged.mapInArrow(run, df.schema)
+
+
+def likely(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """df without most rows whose column is not among the keys; a join decides about the rest."""
+    return Bitmap(keys).keep(df, column)
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

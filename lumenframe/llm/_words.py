@@ -33,6 +33,29 @@ def finish(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+def spans_hashed(raw: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """One hash for each span of bytes, of a polynomial in them: spans of a step's length or longer are hashed one by one."""
+    out, b = np.empty(len(start), np.uint64), np.frombuffer(raw, np.uint8)
+    if not hasattr(spans_hashed, "up"):
+        spans_hashed.up, spans_hashed.down = _powers(_BASE, _STEP), _powers(_INVERSE, _STEP)
+    i = 0
+    with np.errstate(over="ignore"):
+        while i < len(start):
+            lo = int(start[i])
+            j = max(i + 1, int(np.searchsorted(end, lo + _STEP - 1, "right")))
+            hi = int(end[j - 1])
+            if hi - lo >= _STEP:  # one span as long as a step
+                h = 0
+                for x in _VALUE[b[lo:hi]].tolist()[::-1]:
+                    h = (h * _BASE + x) & 0xFFFFFFFFFFFFFFFF
+                out[i] = h
+            else:
+                p = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_VALUE[b[lo:hi]] * spans_hashed.up[: hi - lo], dtype=np.uint64)))
+                out[i:j] = (p[end[i:j] - lo] - p[start[i:j] - lo]) * spans_hashed.down[start[i:j] - lo]
+            i = j
+    return finish(out ^ (end - start).astype(np.uint64))
+
+
 class Hasher:
     """Hashes words of lower-cased texts. A word is a run of ASCII letters and digits and of
     characters beyond ASCII but for the spaces and marks of Latin-1 and general punctuation."""

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import small_batches, table
+from ._common import map_rows, named, sliced, table
 
 BASE = ("assign", "access", "hex")
 KINDS = (*BASE, "github", "npm", "card")
@@ -139,17 +139,16 @@ def scan(text: str | None, words: ahocorasick.Automaton) -> list[tuple[str, int,
 
 def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, spans array<struct<kind, start, end>>) of every row."""
-    kind = df.select(F.col(id_col)).schema[0].dataType.simpleString()
+    kind = df.select(named(id_col)).schema[0].dataType.simpleString()
     struct = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches):
         words = automaton()
-        for b in batches:
+        for b in sliced(batches, 1):
             found = [[{"kind": k, "start": s, "end": e} for k, s, e in scan(t, words)] for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, struct)], ["id", "spans"])
 
-    small_batches(df.sparkSession)
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, spans array<struct<kind: string, start: bigint, end: bigint>>")
+    return df.select(named(id_col).alias("id"), named(text_col).alias("text")).mapInArrow(run, f"id {kind}, spans array<struct<kind: string, start: bigint, end: bigint>>")
 
 
 def mask_secrets(df: DataFrame, text_col: str = "text", with_: str = "<secret>") -> DataFrame:
@@ -158,7 +157,7 @@ def mask_secrets(df: DataFrame, text_col: str = "text", with_: str = "<secret>")
 
     def run(batches):
         words = automaton()
-        for b in batches:
+        for b in sliced(batches, place):
             texts = []
             for t in b.column(place).to_pylist():
                 done, parts = 0, []
@@ -169,8 +168,7 @@ def mask_secrets(df: DataFrame, text_col: str = "text", with_: str = "<secret>")
                 texts.append(t if t is None else "".join(parts) + t[done:])
             yield b.set_column(place, b.schema.field(place), pa.array(texts, b.schema.field(place).type))
 
-    small_batches(df.sparkSession)
-    return df.mapInArrow(run, df.schema)
+    return map_rows(df, run)
 
 
 def _digest(spans: DataFrame) -> list:
