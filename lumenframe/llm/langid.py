@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import small_batches, table
+from ._common import map_rows, named, sliced, table
 
 UND = "und"
 _LETTER = regex.compile(r"\p{L}")
@@ -169,25 +169,28 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
-def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", per_label: int = 1500, windows: int = 4, seed: int = 7, **shape) -> ByteCNN:
-    """Fit on at most per_label labelled rows of each label and `windows` windows a row, chosen by hash.
+def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", per_label: int = 1500, all_labels: int = 60_000, windows: int = 4, seed: int = 7, **shape) -> ByteCNN:
+    """Fit on labelled rows of every label and `windows` windows a row, chosen by hash.
 
-    The sample is bounded by per_label * windows windows of fixed length for each
-    label, of which there must be few (`max_labels`, 200). Labels come sorted.
+    The sample has at most per_label rows of a label and about all_labels rows in
+    all (but one of each label at least), so it does not grow with the input, and
+    with the number of labels only beyond all_labels of them. Labels come sorted.
     """
-    known = df.select(F.col(label_col).alias("y"), F.col(id_col).alias("i"), F.col(text_col).alias("x")).where("y is not null and x is not null")
-    counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).orderBy(F.desc("n")).limit(200).collect()}
+    known = df.select(named(label_col).cast("string").alias("y"), named(id_col).alias("i"), named(text_col).alias("x")).where("y is not null and x is not null")
+    counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     labels = sorted(counts)
     model = ByteCNN(labels, **shape)
     if not labels:
         return model
-    share = F.create_map(*[F.lit(v) for k in labels for v in (k, min(1.0, 2 * per_label / counts[k]))])
+    per_label = max(1, min(per_label, all_labels // len(labels)))
+    # Twice as many as wanted and 20 more, of which the first per_label by hash stay.
+    shares = df.sparkSession.createDataFrame([(k, min(1.0, (2 * per_label + 20) / counts[k])) for k in labels], "y string, share double")
     u = F.pmod(F.xxhash64("i", F.lit(seed)), F.lit(1 << 30)).cast("double") / (1 << 30)
-    part = known.withColumn("u", u).where(F.col("u") < share[F.col("y")])
+    part = known.withColumn("u", u).join(F.broadcast(shares), "y").where("u < share")  # a row a label, as many as the model has classes
     w, length = windows, model.window
 
     def pick(batches):
-        for b in batches:
+        for b in sliced(batches, 2):
             ys, us, raws = [], [], []
             for y, v, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
                 if not _LETTER.search(text):
@@ -204,11 +207,11 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
                 raws.append(got)
             yield pa.RecordBatch.from_arrays([pa.array(ys, pa.string()), pa.array(us, pa.float64()), pa.array(raws, pa.list_(pa.binary()))], ["y", "u", "raw"])
 
-    small_batches(df.sparkSession)
     got = part.select("y", "u", "x").mapInArrow(pick, "y string, u double, raw array<binary>")
     got = got.withColumn("k", F.row_number().over(Window.partitionBy("y").orderBy("u", "raw"))).where(F.col("k") <= per_label)
     rows = got.select("y", "raw").orderBy("y", "k").collect()
-    pairs = [(labels.index(y), bytes(raw)) for y, many in rows for raw in many]
+    place = {y: k for k, y in enumerate(labels)}
+    pairs = [(place[y], bytes(raw)) for y, many in rows for raw in many]
     x = np.zeros((len(pairs), length), np.uint8)
     for k, (_, raw) in enumerate(pairs):
         x[k, : len(raw)] = np.frombuffer(raw, np.uint8)
@@ -218,15 +221,14 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
 
 def predict(df: DataFrame, model: ByteCNN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score) of every whole text; the id and the text are all that is read."""
-    kind = df.select(F.col(id_col)).schema[0].dataType.simpleString()
+    kind = df.select(named(id_col)).schema[0].dataType.simpleString()
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches, 1):
             lang, score = model.predict(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["id", "lang_pred", "score"])
 
-    small_batches(df.sparkSession)
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, lang_pred string, score double")
+    return df.select(named(id_col).alias("id"), named(text_col).alias("text")).mapInArrow(run, f"id {kind}, lang_pred string, score double")
 
 
 def keep_identified(df: DataFrame, model: ByteCNN, least: float = 0.4, text_col: str = "text") -> DataFrame:
@@ -234,12 +236,11 @@ def keep_identified(df: DataFrame, model: ByteCNN, least: float = 0.4, text_col:
     place = df.columns.index(text_col)
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches, place):
             lang, score = model.predict(b.column(place).to_pylist())
             yield b.filter(pa.array([a != UND and s >= least for a, s in zip(lang, score)], pa.bool_()))
 
-    small_batches(df.sparkSession)
-    return df.mapInArrow(run, df.schema)
+    return map_rows(df, run)
 
 
 def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
