@@ -8,8 +8,9 @@ and the longest stretch of which four of five words agree is an overlap if it ha
 `min_words` words or covers the item.
 
 Words are compared lower-cased and without punctuation. The benchmark goes to the
-executors in blocks of bounded size, each against all documents; documents are
-never shuffled.
+executors in blocks of bounded size (BLOCK_WORDS, or one longer item), each against all
+documents; documents are never shuffled. So a benchmark costs a pass over the documents
+a block.
 
 Defined results: null or empty texts and items without words overlap with
 nothing. Items of fewer words than `min_words` count only as a whole, word for
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import small_batches, table
+from ._common import map_rows, named, sliced, table
 from ._words import Hasher, finish
 
 #: 1: the word counts, 0: it is ignored. Six of up to nine words, chosen by enumeration: every ten words of which
@@ -64,76 +65,115 @@ def best_stretch(same: np.ndarray) -> tuple[int, int, int]:
     return (start + int(hit[0]), start + int(hit[-1]) + 1, len(hit)) if len(hit) else (0, 0, 0)
 
 
+def _back(keys: np.ndarray, pos: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """How many words before each place its key was last in the same text; 0 if it was not. Places rise."""
+    order = np.lexsort((pos, keys, text))
+    again = (keys[order][1:] == keys[order][:-1]) & (text[order][1:] == text[order][:-1])
+    out = np.zeros(len(keys), np.int64)
+    out[order[1:]] = np.where(again, np.diff(pos[order]), 0)
+    return out
+
+
+#: Hits that are looked at together.
+HITS = 1 << 18
+
+
 class Index:
-    """The seeds of one block of the benchmark."""
+    """The seeds of one block of the benchmark, all in `arrays`, which are what workers get."""
 
     def __init__(self, items: list, texts: list, min_words: int) -> None:
-        self.ids, self.min_words = items, min_words
-        self.h, self.at = Hasher().many(texts)
+        h, at = Hasher().many(texts)
         keys, where = [], []
         for m, mask in enumerate(MASKS):
-            k = _keys(self.h, mask, m)
+            k = _keys(h, mask, m)
             pos = np.arange(len(k))
-            item = np.searchsorted(self.at, pos, "right") - 1
-            inside = pos + len(mask) <= self.at[item + 1]
+            item = np.searchsorted(at, pos, "right") - 1
+            inside = pos + len(mask) <= at[item + 1]
             keys.append(k[inside])
             where.append(pos[inside])
         # Items shorter than the shortest mask: their first word, then all of them.
-        self.short = [i for i in range(len(items)) if 0 < self.at[i + 1] - self.at[i] < len(MASKS[0])]
-        first = self.h[self.at[self.short]] if self.short else np.empty(0, np.uint64)
-        keys.append(first)
-        where.append(self.at[self.short] if self.short else np.empty(0, np.int64))
-        self.keys, self.where = [], []
-        self.filter = []
-        for k, w in zip(keys, where):
-            order = np.argsort(k, kind="stable")
-            self.keys.append(k[order])
-            self.where.append(w[order].astype(np.int64))
+        short = np.flatnonzero((np.diff(at) > 0) & (np.diff(at) < len(MASKS[0])))
+        keys.append(h[at[short]])
+        where.append(at[short])
+        a = {"ids": items, "min_words": min_words, "h": h, "at": at}
+        for m, (k, w) in enumerate(zip(keys, where)):
+            back = _back(k, w, np.searchsorted(at, w, "right"))
+            order = np.lexsort((back, k))
+            same = np.searchsorted(k[order], k[order])  # where each key begins
             bits = np.zeros(1 << _BITS, bool)
             bits[k >> np.uint64(64 - _BITS)] = True
-            self.filter.append(bits)
+            a |= {f"keys{m}": k[order], f"where{m}": w[order].astype(np.int64), f"steps{m}": same << 32 | back[order], f"filter{m}": np.packbits(bits, bitorder="little")}
+        self._use(a)
+
+    def _use(self, arrays: dict) -> None:
+        self.arrays, self.ids, self.min_words, self.h, self.at = arrays, arrays["ids"], arrays["min_words"], arrays["h"], arrays["at"]
+
+    @classmethod
+    def of(cls, arrays: dict) -> Index:
+        self = cls.__new__(cls)
+        self._use(arrays)
+        return self
 
-    def hits(self, h: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(positions in h, positions in the benchmark) with equal keys, by mask."""
+    def hits(self, h: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(positions in h, positions in the benchmark) with equal keys, HITS at a time.
+
+        Where the last equal key is as far back in both, the pair of those two stands
+        for the same alignment; so of a text that repeats itself only n + m of n * m
+        pairs are made.
+        """
         for m in range(len(MASKS) + 1):
             k = _keys(h, MASKS[m], m) if m < len(MASKS) else h
-            if not len(self.keys[m]) or not len(k):
+            keys, where, steps, bits = (self.arrays[f"{x}{m}"] for x in ("keys", "where", "steps", "filter"))
+            if not len(keys) or not len(k):
                 continue
-            maybe = np.flatnonzero(self.filter[m][k >> np.uint64(64 - _BITS)])
-            lo, hi = (np.searchsorted(self.keys[m], k[maybe], side) for side in ("left", "right"))
-            n = hi - lo
-            maybe, lo, n = maybe[n > 0], lo[n > 0], n[n > 0]
-            for s in range(0, len(n), 1 << 16):  # a bounded number of hits at a time
-                c = n[s : s + (1 << 16)]
-                step = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
-                yield np.repeat(maybe[s : s + (1 << 16)], c), self.where[m][np.repeat(lo[s : s + (1 << 16)], c) + step]
+            top = (k >> np.uint64(64 - _BITS)).astype(np.int64)
+            pos = np.flatnonzero((bits[top >> 3] >> (top & 7).astype(np.uint8)) & 1)
+            lo, hi = (np.searchsorted(keys, k[pos], side) for side in ("left", "right"))
+            pos, lo, hi = pos[hi > lo], lo[hi > lo], hi[hi > lo]
+            back = _back(k[pos], pos, np.searchsorted(at, pos, "right"))
+            a, z = (np.searchsorted(steps, lo << 32 | back, side) for side in ("left", "right"))
+            a, z = np.where(back, a, hi), np.where(back, z, hi)  # a first one has nothing before it
+            pos, lo, n = np.r_[pos, pos], np.r_[lo, z], np.r_[a - lo, hi - z]
+            pos, lo, n = pos[n > 0], lo[n > 0], n[n > 0]
+            ends = np.cumsum(n)
+            for s in range(0, int(ends[-1]) if len(ends) else 0, HITS):
+                t = np.arange(s, min(s + HITS, int(ends[-1])))
+                i = np.searchsorted(ends, t, "right")
+                yield pos[i], where[lo[i] + t - (ends[i] - n[i])]
 
     def overlaps(self, h: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-        """(row, item, first word, end word, matching words): the best overlap of each row and item."""
-        best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        seen: set[tuple[int, int, int]] = set()
-        for pos, ref in self.hits(h):
+        """(row, item, first word, end word, matching words): of each row and item the overlap with most matching words, then the first."""
+        span, items = len(h) + len(self.h) + 1, len(self.at)
+        found = [np.empty(0, np.int64)]  # each alignment of a row and an item once
+        for pos, ref in self.hits(h, at):
             row = np.searchsorted(at, pos, "right") - 1
             item = np.searchsorted(self.at, ref, "right") - 1
-            shift = pos - ref
-            for r, i, s in set(zip(row.tolist(), item.tolist(), shift.tolist())) - seen:
-                seen.add((r, i, s))
-                lo = max(self.at[i], at[r] - s)
-                hi = min(self.at[i + 1], at[r + 1] - s)
-                size = int(self.at[i + 1] - self.at[i])
-                a, b, match = best_stretch(self.h[lo:hi] == h[lo + s : hi + s])
-                whole = match == b - a == size
-                if whole or (b - a >= self.min_words and size >= self.min_words):
-                    found = (match, int(lo + s + a - at[r]), int(lo + s + b - at[r]))
-                    if (r, i) not in best or found[0] > best[r, i][0]:
-                        best[r, i] = found
-        return [(r, i, a, b, match) for (r, i), (match, a, b) in sorted(best.items())]
+            found.append(np.unique((row * items + item) * span + pos - ref + len(self.h)))
+            if sum(map(len, found)) > 4 * HITS:
+                found = [np.unique(np.concatenate(found))]
+        code = np.unique(np.concatenate(found))
+        shift, pair = code % span - len(self.h), code // span
+        row, item = pair // items, pair % items
+        lo, hi = np.maximum(self.at[item], at[row] - shift), np.minimum(self.at[item + 1], at[row + 1] - shift)
+        best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        # Longest alignments first: those too short to hold more matches are passed over.
+        order = np.lexsort((shift, lo - hi, pair))
+        for r, i, s, lo, hi in zip(*(x[order].tolist() for x in (row, item, shift, lo, hi))):
+            most = best.get((r, i), (0, 0, 0))
+            if hi - lo < most[0]:
+                continue
+            size = int(self.at[i + 1] - self.at[i])
+            a, b, match = best_stretch(self.h[lo:hi] == h[lo + s : hi + s])
+            if match == b - a == size or (b - a >= self.min_words and size >= self.min_words):
+                here = (match, -int(lo + s + a - at[r]), -int(lo + s + b - at[r]))
+                best[r, i] = max(most, here) if most[0] else here
+        return [(r, i, -a, -b, match) for (r, i), (match, a, b) in sorted(best.items())]
 
 
 def blocks(benchmark: DataFrame, id_col: str, text_col: str, min_words: int) -> Iterator[Index]:
     """Indexes of the benchmark in blocks; one partition of it is on the driver at a time."""
     ids, texts, words = [], [], 0
-    for item, text in benchmark.select(F.col(id_col), F.col(text_col)).toLocalIterator():
+    for item, text in benchmark.select(named(id_col), named(text_col)).toLocalIterator():
         n = len((text or "").split())
         if ids and words + n > BLOCK_WORDS:
             yield Index(ids, texts, min_words)
@@ -145,24 +185,21 @@ def blocks(benchmark: DataFrame, id_col: str, text_col: str, min_words: int) ->
         yield Index(ids, texts, min_words)
 
 
-
-
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", min_words: int = 10) -> DataFrame:
     """(id, item, first_word, end_word, n_match) for each document and item that overlap; the best overlap of the two."""
-    small_batches(docs.sparkSession)
     spark = docs.sparkSession
-    kind = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
-    other = benchmark.select(F.col(item_col)).schema[0].dataType
+    kind = docs.select(named(id_col)).schema[0].dataType.simpleString()
+    other = benchmark.select(named(item_col)).schema[0].dataType
     from pyspark.sql.pandas.types import to_arrow_type
 
     item_type = to_arrow_type(other)
     out = None
     for index in blocks(benchmark, item_col, item_text, min_words):
-        shared = spark.sparkContext.broadcast(index)
+        shared = spark.sparkContext.broadcast(index.arrays)
 
         def run(batches, shared=shared):
-            hasher, index = Hasher(), shared.value
-            for b in batches:
+            hasher, index = Hasher(), Index.of(shared.value)
+            for b in sliced(batches, 1):
                 found = index.overlaps(*hasher.many(b.column(1).to_pylist()))
                 cols = list(zip(*found)) if found else [[]] * 5
                 yield pa.RecordBatch.from_arrays(
@@ -170,7 +207,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                     ["id", "item", "first_word", "end_word", "n_match"],
                 )
 
-        part = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, item {other.simpleString()}, first_word long, end_word long, n_match long")
+        part = docs.select(named(id_col).alias("id"), named(text_col).alias("text")).mapInArrow(run, f"id {kind}, item {other.simpleString()}, first_word long, end_word long, n_match long")
         out = part if out is None else out.unionByName(part)
     if out is None:
         out = spark.createDataFrame([], f"id {kind}, item {other.simpleString()}, first_word long, end_word long, n_match long")
@@ -179,18 +216,17 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", min_words: int = 10) -> DataFrame:
     """The rows of docs, unchanged, that overlap with no item of the benchmark."""
-    small_batches(docs.sparkSession)
     place = docs.columns.index(text_col)
     for index in blocks(benchmark, item_col, item_text, min_words):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+        shared = docs.sparkSession.sparkContext.broadcast(index.arrays)
 
         def run(batches, shared=shared):
-            hasher, index = Hasher(), shared.value
-            for b in batches:
+            hasher, index = Hasher(), Index.of(shared.value)
+            for b in sliced(batches, place):
                 bad = {x[0] for x in index.overlaps(*hasher.many(b.column(place).to_pylist()))}
                 yield b.filter(pa.array([i not in bad for i in range(b.num_rows)], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = map_rows(docs, run)
     return docs
 
 
