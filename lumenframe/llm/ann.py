@@ -1,20 +1,28 @@
 """Approximate nearest neighbours over learned partitions.
 
-The neighbour graph of a bounded sample (`sample` vectors, exact) is cut into
-balanced parts; a small network learns which part a vector belongs to. Every
-vector is indexed in its most probable part. A query goes to its several most
-probable parts, whose vectors are ranked by the exact cosine. How many parts is
-set on held-out sample queries so that `wanted` of their neighbours are found.
+The neighbour graph of a bounded sample (exact) is cut into balanced parts; a small
+network learns which part a vector belongs to. Every vector is indexed in its most
+probable part. A query goes to its several most probable parts, whose vectors are
+ranked by the exact cosine. How many parts is set on held-out sample queries so
+that `wanted` of their neighbours are found; a query whose parts hold fewer than k
+other vectors goes to all parts.
+
+Sizes: the number of parts grows with the square root of the number of vectors, from
+32 to 1,024; the sample has 64 vectors a part, 8,192 at least and 65,536 at most, and
+no more than `sample_floats` numbers (so 2,730 vectors of 1,536 dimensions; the number
+of parts falls with it).
 
 Hot parts are split: a part of more than `chunk` vectors into salted groups, its
 queries likewise; one group holds at most about `chunk` vectors and `block`
 queries. Queries and vectors never meet on the driver.
 
-Defined results: vectors that are null, zero, hold null or non-finite components
-or have another length than most, and rows with a null id, take no part. A
-query's own id is no candidate. With fewer than k candidates all are returned.
-Repeated vectors tie, and smaller ids come first. An empty table gives an empty
-one. Columns other than id and vector are not looked at.
+Defined results: ids are whole numbers. Vectors that are null, zero, hold null or
+non-finite components or have another length than most, and rows with a null id, take
+no part. Rows are told apart by themselves, not by their ids: a row that repeats an id
+is a candidate like any other and a query of its own, with a list of its own. With
+fewer than k candidates all are returned. Repeated vectors tie, and smaller ids come
+first. An empty table gives an empty one. Columns other than id and vector are not
+looked at.
 """
 
 from __future__ import annotations
@@ -27,16 +35,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import cut, small_batches, table
+from ._common import cut, named, sliced, table
 
-SAMPLE_FLOATS = 1 << 20
+SAMPLE_FLOATS = 1 << 22
 
 
 def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
     """Indexes of each row's k nearest other rows by cosine; x has unit rows."""
-    k, out = min(k, len(x) - 1), []
-    for s in range(0, len(x), 1024):
-        sim = x[s : s + 1024] @ x.T
+    k, out, x = min(k, len(x) - 1), [], x.astype(np.float32)
+    for s in range(0, len(x), 256):
+        sim = x[s : s + 256] @ x.T
         sim[np.arange(len(sim)), np.arange(s, s + len(sim))] = -2
         out.append(np.argpartition(-sim, k - 1, axis=1)[:, :k] if k else np.zeros((len(sim), 0), int))
     return np.concatenate(out)
@@ -132,9 +140,12 @@ def train(x: np.ndarray, parts: int, k: int = 5, wanted: float = 0.97, neighbour
     rest = np.setdiff1d(np.arange(len(x)), held)
     trial = Router().fit(x[rest], y[rest], parts)
     at = trial.rank(x, 1)[:, 0]
-    sim = x[held] @ x.T
-    sim[np.arange(len(held)), held] = -2
-    true = np.argpartition(-sim, k, axis=1)[:, :k]
+    true = []
+    for s in range(0, len(held), 128):
+        sim = x[held[s : s + 128]] @ x.T
+        sim[np.arange(len(sim)), held[s : s + 128]] = -2
+        true.append(np.argpartition(-sim, k, axis=1)[:, :k])
+    true = np.concatenate(true)
     place = np.argsort(trial.rank(x[held], parts), axis=1)  # place of each part in a query's order
     need = place[np.arange(len(held))[:, None], at[true]]
     for n in range(1, parts + 1):
@@ -143,13 +154,13 @@ def train(x: np.ndarray, parts: int, k: int = 5, wanted: float = 0.97, neighbour
     return router, parts
 
 
-def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(id, vec array<double>) of the rows that take part."""
-    v = df.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("vec")).where("id is not null and size(vec) > 0")
+def usable(df: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, int]:
+    """(id, vec array<double>) of the rows that take part, and how many there are."""
+    v = df.select(named(id_col).cast("long").alias("id"), named(vec_col).cast("array<double>").alias("vec")).where("id is not null and size(vec) > 0")
     fine = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0)
     v = v.where(fine)
     usual = v.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return v.where(F.size("vec") == (usual["d"] if usual else 0))
+    return v.where(F.size("vec") == (usual["d"] if usual else 0)), usual["count"] if usual else 0
 
 
 def _matrix(binary) -> np.ndarray:
@@ -169,63 +180,71 @@ def cosine(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return (x * q).sum(axis=1) / (np.sqrt((q * q).sum()) * np.sqrt((x * x).sum(axis=1)))
 
 
-def top(ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray, k: int) -> pd.DataFrame:
-    """Each query's k nearest of x but its own id, by exact cosine, ties to smaller ids."""
+def top(rows: np.ndarray, ids: np.ndarray, x: np.ndarray, q_rows: np.ndarray, q_ids: np.ndarray, q: np.ndarray, k: int) -> pd.DataFrame:
+    """Each query's k nearest of x but its own row, by exact cosine, ties to smaller ids."""
     out, unit, units = [], _unit(x), _unit(q)
     for s in range(0, len(q), 256):
         sim = units[s : s + 256] @ unit.T
-        sim[q_ids[s : s + 256, None] == ids[None]] = -2
+        sim[q_rows[s : s + 256, None] == rows[None]] = -2
         edge = -np.partition(-sim, k - 1, axis=1)[:, k - 1] if sim.shape[1] >= k else np.full(len(sim), -2.0)
         for j in range(len(sim)):
             c = np.flatnonzero((sim[j] >= edge[j] - 1e-9) & (sim[j] > -1.5))
             score = cosine(q[s + j], x[c])
-            c_best = np.lexsort((ids[c], -score))[:k]
-            out.append(pd.DataFrame({"query_id": q_ids[s + j], "vec_id": ids[c[c_best]], "score": score[c_best]}))
-    return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+            best = np.lexsort((rows[c], ids[c], -score))[:k]
+            out.append(pd.DataFrame({"query_row": q_rows[s + j], "query_id": q_ids[s + j], "row": rows[c[best]], "vec_id": ids[c[best]], "score": score[best]}))
+    return pd.concat(out) if out else pd.DataFrame({"query_row": [], "query_id": [], "row": [], "vec_id": [], "score": []})
 
 
-def search(df: DataFrame, queries, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 5, sample: int = 8192, parts: int = 32, wanted: float = 0.97, chunk: int = 20_000, block: int = 2_000) -> DataFrame:
+def search(df: DataFrame, queries, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 5, sample: int | None = None, parts: int | None = None, wanted: float = 0.97, chunk: int = 20_000, block: int = 2_000, sample_floats: int = SAMPLE_FLOATS) -> DataFrame:
     """(query_id, rank, vec_id, score); queries: a Column over `id` that says which rows are queries."""
     spark = df.sparkSession
-    small_batches(spark)
-    vectors = usable(df, id_col, vec_col)
-    got = vectors.withColumn("h", F.xxhash64("id", F.lit(11))).orderBy("h", "id").limit(sample).select("vec").collect()
+    vectors, n = usable(df, id_col, vec_col)
     schema = "query_id long, rank int, vec_id long, score double"
-    if not got:
+    if not n:
         return spark.createDataFrame([], schema)
-    x = _unit(np.array([r[0] for r in got]))
-    x = x[: max(256, SAMPLE_FLOATS // x.shape[1])]
+    parts = parts or min(1024, max(32, round(math.sqrt(n) / 7)))
+    sample = sample or min(1 << 16, max(8192, 64 * parts))
+    dims = len(vectors.first()["vec"])
+    sample = min(sample, max(256, sample_floats // dims))
+    got = vectors.withColumn("h", F.xxhash64("id", F.lit(11))).orderBy("h", "id", "vec").limit(sample).select("vec").toArrow()
+    x = _unit(got.column(0).combine_chunks().flatten().to_numpy().reshape(-1, dims))
     parts = max(1, min(parts, len(x) // 64))
     router, probes = train(x, parts, k, wanted)
 
     def index(batches):
-        for b in batches:
-            flat = b.column(1)
-            v = np.asarray(flat.flatten()).reshape(b.num_rows, -1) if b.num_rows else np.zeros((0, x.shape[1]))
+        for b in sliced(batches, rows=4096):
+            v = np.asarray(b.column(2).flatten()).reshape(b.num_rows, -1) if b.num_rows else np.zeros((0, dims))
             ranked = router.rank(_unit(v), probes) if b.num_rows else np.zeros((0, probes), int)
             raw = [r.tobytes() for r in np.ascontiguousarray(v)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(raw, pa.binary()), pa.array(ranked.astype(np.int32).tolist(), pa.list_(pa.int32()))], ["id", "vec", "parts"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(raw, pa.binary()), pa.array(ranked.astype(np.int32).tolist(), pa.list_(pa.int32()))], ["row", "id", "vec", "parts"])
 
-    indexed = cut(vectors.select(F.col("id").cast("long").alias("id"), "vec").mapInArrow(index, "id long, vec binary, parts array<int>"))
-    base = indexed.select("id", "vec", F.col("parts")[0].alias("part"))
-    asked = indexed.where(queries).select("id", "vec", F.explode("parts").alias("part"))
-    # The counts of the parts, a row a part, say how each is split.
+    # The rows' numbers are written with them, so they are the same in all that follows.
+    numbered = vectors.select(F.monotonically_increasing_id().alias("row"), "id", "vec")
+    indexed = cut(numbered.mapInArrow(index, "row long, id long, vec binary, parts array<int>"))
+    base = indexed.select("row", "id", "vec", F.col("parts")[0].alias("part"))
+    # The counts of the parts, a row a part, say how each is split and which queries need more parts.
     n_base = {r[0]: r[1] for r in base.groupBy("part").count().collect()}
+    sizes = F.create_map(*[F.lit(v) for p in range(parts) for v in (p, n_base.get(p, 0))])
+    within = F.aggregate("parts", F.lit(0).cast("long"), lambda a, p: a + sizes[p].cast("long"))
+    tried = F.when(within > k, F.col("parts")).otherwise(F.sequence(F.lit(0), F.lit(parts - 1)))
+    asked = indexed.where(queries).select("row", "id", "vec", F.explode(tried).alias("part"))
     n_ask = {r[0]: r[1] for r in asked.groupBy("part").count().collect()}
     both = F.create_map(*[F.lit(v) for p in range(parts) for v in (p, -(-n_base.get(p, 1) // chunk))])
     other = F.create_map(*[F.lit(v) for p in range(parts) for v in (p, -(-n_ask.get(p, 1) // block))])
     steps = lambda m: F.explode(F.sequence(F.lit(0), m[F.col("part")] - 1))
-    own = lambda m, seed: F.pmod(F.xxhash64("id", F.lit(seed)), m[F.col("part")]).cast("int")
+    own = lambda m, seed: F.pmod(F.xxhash64("row", F.lit(seed)), m[F.col("part")]).cast("int")
     base = base.withColumn("b", own(both, 1)).withColumn("q", steps(other))
     asked = asked.withColumn("q", own(other, 2)).withColumn("b", steps(both))
+    longs = ["query_row", "query_id", "row", "vec_id"]
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "score": np.empty(0)})
-        return top(left["id"].to_numpy(), _matrix(left["vec"]), right["id"].to_numpy(), _matrix(right["vec"]), k).astype({"query_id": np.int64, "vec_id": np.int64})
+            return pd.DataFrame({**{c: np.empty(0, np.int64) for c in longs}, "score": np.empty(0)})
+        found = top(left["row"].to_numpy(), left["id"].to_numpy(), _matrix(left["vec"]), right["row"].to_numpy(), right["id"].to_numpy(), _matrix(right["vec"]), k)
+        return found.astype(dict.fromkeys(longs, np.int64))
 
-    near = base.groupBy("part", "b", "q").cogroup(asked.groupBy("part", "b", "q")).applyInPandas(meet, "query_id long, vec_id long, score double")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    near = base.groupBy("part", "b", "q").cogroup(asked.groupBy("part", "b", "q")).applyInPandas(meet, "query_row long, query_id long, row long, vec_id long, score double")
+    w = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row")
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
