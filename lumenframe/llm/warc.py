@@ -1,22 +1,25 @@
 """Deterministic sharded WARC writer and reader.
 
-Records are range-sorted by id, so a shard holds a range of ids in order. A task
-writes its shard as files of gzip members, one a record, and starts the next
-file when the compressed size has reached `roll_bytes`. Headers, record ids,
-dates and digests are made anew from the record, so the same rows and the same
-shards give the same bytes. Files are written under temporary names and renamed
-when whole; the files' names, sizes and digests make a manifest, itself written
-through a temporary folder and committed with _SUCCESS. Readers take only what a
-committed manifest lists, so leftovers of lost tasks do not count.
+Records are ordered by id; a shard is a run of so many ids of
+that order as have `shard_bytes` on average, so shards follow from the rows alone, not from how Spark samples or
+partitions them. A task writes its shards as files of gzip members, one a record,
+and starts the next file when the compressed size has reached `roll_bytes`. Headers,
+record ids, dates and digests are made anew from the record, so the same rows give
+the same bytes. Files are written under temporary names and renamed when whole; the
+files' names, sizes and digests make a manifest, itself written through a temporary
+folder and committed with _SUCCESS. Readers take only what a committed manifest
+lists, so leftovers of lost tasks do not count, and fail where a file does not hold
+what the manifest says.
 
 Of records with equal payloads the one with the largest id is the response, the
 others are revisits of it (payloads under `revisit_from` bytes are all responses).
 
-Defined results: a null payload counts as empty; a null URL leaves its header
-out. Null ids come first, and are the response only where no equal payload has an
-id. Rows that repeat an id and a payload: the first is the response, the others
-revisit it. An empty table gives archives without records. Columns other than
-id, URL and payload are not looked at.
+Defined results: ids are whole numbers (others fail where Spark casts them). A null
+payload counts as empty; a null URL leaves its header out. Null ids come first, and
+are the response only where no equal payload has an id. Rows that repeat an id and a
+payload: the first by URL is the response, the others revisit it. An empty table
+gives a manifest without files. Columns other than id, URL and payload are not
+looked at.
 """
 
 from __future__ import annotations
@@ -27,17 +30,21 @@ import re
 import uuid
 import zlib
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import cut, new_folder, small_batches, table
+from ._common import SLICE_BYTES, SLICE_ROWS, cut, named, new_folder, ranked, sliced, table
 from ._files import Staged, at
 
 #: The date of every record: archives do not depend on when they are written.
 DATE = "2000-01-01T00:00:00Z"
 ROLL_BYTES = 256 << 20
+#: Payloads of a shard in bytes: a part of all payloads, but no less and no more than this on average.
+SHARD_PART, SHARD_BYTES = 256, (4 << 20, 1 << 30)
 _SPACE = uuid.UUID("6f1c2d9a-0d1b-5c1e-9a57-2f4f4e1d7c10")
 
 
@@ -68,39 +75,59 @@ def _member(raw: bytes, level: int) -> bytes:
     return z.compress(raw) + z.flush()
 
 
-def write(df: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", roll_bytes: int = ROLL_BYTES, revisit_from: int = 0, shards: int | None = None, level: int = 6) -> str:
+def shard_starts(ids: DataFrame, size: int) -> np.ndarray:
+    """The first id of each shard but the first: every size-th of the ids (one column, not null) in their order."""
+    rows = ranked(ids, ["id"]).where((F.col("rank") % size == 0) & (F.col("rank") > 0)).select("id").collect()
+    return np.unique(np.array([r[0] for r in rows], np.int64))
+
+
+def write(df: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", roll_bytes: int = ROLL_BYTES, revisit_from: int = 0, shard_bytes: int | None = None, level: int = 6) -> str:
     """Write df's records under folder; returns the manifest's path."""
     spark = df.sparkSession
-    small_batches(spark)
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit("").cast("binary"))
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), payload.alias("payload"))
+    payload = F.coalesce(named(payload_col).cast("binary"), F.lit("").cast("binary"))
+    rows = df.select(named(id_col).cast("long").alias("id"), named(url_col).alias("url"), payload.alias("payload"))
     rows = rows.withColumn("sha", F.unhex(F.sha1("payload")))
     # Equal payloads: only ids and digests are grouped, and only groups of two or more come back.
-    small = cut(rows.where(F.length("payload") >= revisit_from).groupBy("id", "sha").agg(F.count("*").alias("n")))
-    groups = small.groupBy("sha").agg(F.max("id").alias("refers"), F.sum("n").alias("n")).where("n > 1").drop("n")
-    refers = small.drop("n").join(groups, "sha")
+    small = cut(rows.select("id", "sha", F.length("payload").alias("size")))
+    n, total = small.agg(F.count("*"), F.coalesce(F.sum(F.col("size").cast("long")), F.lit(0))).first()
+    shard_bytes = shard_bytes or min(max(total // SHARD_PART, SHARD_BYTES[0]), SHARD_BYTES[1])
+    starts = shard_starts(small.where("id is not null").select("id"), max(1, shard_bytes * n // max(1, total)))
+    shards = spark.sparkContext.broadcast(starts)  # eight bytes a shard
+    several = small.where(F.col("size") >= revisit_from).groupBy("id", "sha").agg(F.count("*").alias("n"))
+    groups = several.groupBy("sha").agg(F.max("id").alias("refers"), F.sum("n").alias("n")).where("n > 1").drop("n")
+    refers = several.drop("n").join(groups, "sha")
     none = F.lit(None)
     both = rows.select("id", "sha", F.lit(1).alias("kind"), none.cast("long").alias("refers"), "url", "payload").unionByName(
         refers.select("id", "sha", F.lit(0).alias("kind"), "refers", none.cast("string").alias("url"), none.cast("binary").alias("payload"))
     )
-    both = both.repartitionByRange(shards, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "sha", "kind", "url")
+
+    @F.pandas_udf("int")
+    def shard_of(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(shards.value, ids.to_numpy(), "right").astype(np.int32))
+
+    order = [F.col("id").asc_nulls_first(), "sha", "kind", F.col("url").asc_nulls_first()]
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    both = both.withColumn("shard", shard_of(F.coalesce("id", F.lit(-(1 << 63))))).repartition(parts, "shard").sortWithinPartitions("shard", *order)
+    both = both.select("id", "sha", "kind", "refers", "url", "payload", "shard")
 
     def run(batches):
-        context = TaskContext.get()
-        shard, attempt = context.partitionId(), str(context.taskAttemptId())
-        out, done, n, size, total, sha = None, 0, 0, 0, [], None
+        attempt = str(TaskContext.get().taskAttemptId())
+        out, done, n, size, total, sha, now = None, 0, 0, 0, [], None, None
         rule, first = None, False  # (id, sha, refers) of the group that rows belong to
 
         def close():
             nonlocal out, n, size
-            out.commit()
-            total.append((out.final.rsplit("/", 1)[1], n, size, sha.hexdigest()))
-            out, n, size = None, 0, 0
+            if out is not None:
+                out.commit()
+                total.append((out.final.rsplit("/", 1)[1], n, size, sha.hexdigest()))
+                out, n, size = None, 0, 0
 
         try:
-            for b in batches:
-                for key, digest, kind, refer, url, body in zip(*(c.to_pylist() for c in b.columns)):
+            for b in sliced(batches, 5):
+                for key, digest, kind, refer, url, body, shard in zip(*(c.to_pylist() for c in b.columns)):
+                    if shard != now:
+                        close()
+                        now, done, rule = shard, 0, None
                     if kind == 0:
                         rule, first = (key, digest, refer), True
                         continue
@@ -111,15 +138,14 @@ def write(df: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "u
                         first = False
                     raw = _member(_record("" if key is None else str(key), url, body, b32(digest), target), level)
                     if out is None:
-                        out, sha = Staged(folder, f"part-{shard:05d}-{done:05d}.warc.gz", attempt), hashlib.sha256()
+                        out, sha = Staged(folder, f"part-{shard:06d}-{done:05d}.warc.gz", attempt), hashlib.sha256()
                         done += 1
                     out.write(raw)
                     sha.update(raw)
                     n, size = n + 1, size + len(raw)
                     if size >= roll_bytes:
                         close()
-            if out is not None:
-                close()
+            close()
         except BaseException:
             if out is not None:
                 out.abort()
@@ -131,19 +157,32 @@ def write(df: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "u
     return manifest
 
 
+class _Counted:
+    """A stream that counts and digests what is read from it."""
+
+    def __init__(self, stream) -> None:
+        self.stream, self.bytes, self.sha = stream, 0, hashlib.sha256()
+
+    def read(self, n: int) -> bytes:
+        raw = self.stream.read(n)
+        self.bytes += len(raw)
+        self.sha.update(raw)
+        return raw
+
+
 def _members(stream, chunk: int = 1 << 20):
     """The uncompressed gzip members of a stream, one at a time."""
-    z, parts, raw = zlib.decompressobj(31), [], b""
+    z, parts, raw, begun = zlib.decompressobj(31), [], b"", False
     while True:
         raw = raw or stream.read(chunk)
         if not raw:
             break
         parts.append(z.decompress(raw))
-        raw = z.unused_data
+        raw, begun = z.unused_data, True
         if z.eof:
             yield b"".join(parts)
-            z, parts = zlib.decompressobj(31), []
-    if parts and any(parts):
+            z, parts, begun = zlib.decompressobj(31), [], False
+    if begun:
         raise ValueError("an archive ends within a record")
 
 
@@ -158,19 +197,25 @@ def parse(raw: bytes) -> tuple[dict, bytes]:
 def read(spark: SparkSession, folder: str) -> DataFrame:
     """The records of a committed folder.
 
-    (id, url, type, payload_bytes, payload_digest, refers_to, refers_null, payload);
-    payload is null for revisits. Files' and blocks' digests are checked.
+    (id, url, type, payload_bytes, payload_digest, refers_to, payload); payload is
+    null for revisits. It fails without _SUCCESS, and where a file's records, bytes or
+    sha256 are not those of the manifest or a block's or payload's digest does not hold.
     """
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_manifest/_SUCCESS")
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        raise ValueError(f"{folder} has no committed manifest")
     files = spark.read.schema("file string, records long, bytes long, sha256 string").json(f"{folder}/_manifest")
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     schema = "id long, url string, type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
 
     def run(batches):
+        number = lambda x: int(x) if x else None
         for b in batches:
-            for name in b.column(0).to_pylist():
+            for name, records, size_of, sha in zip(*(c.to_pylist() for c in b.columns)):
                 store, base = at(folder)
-                rows: list = []
-                with store.open_input_stream(f"{base}/{name}", compression=None) as stream:
+                rows, held, seen = [], 0, 0
+                with store.open_input_stream(f"{base}/{name}", compression=None) as opened:
+                    stream = _Counted(opened)
                     for raw in _members(stream):
                         h, block = parse(raw)
                         if b32(hashlib.sha1(block).digest()) != h["warc-block-digest"][5:]:
@@ -178,13 +223,16 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                         head, _, body = block.partition(b"\r\n\r\n")
                         size = int(re.search(rb"Content-Length: (\d+)", head)[1])
                         digest = h["warc-payload-digest"][5:]
-                        if h["warc-type"] == "response" and (len(body) != size or b32(hashlib.sha1(body).digest()) != digest):
+                        whole = h["warc-type"] == "response"
+                        if whole and (len(body) != size or b32(hashlib.sha1(body).digest()) != digest):
                             raise ValueError(f"{name}: a payload's digest does not hold")
-                        number = lambda x: int(x) if x else None
-                        rows.append((number(h["warc-record-key"]), h.get("warc-target-uri"), h["warc-type"], size, digest, number(h.get("warc-refers-to-key")), body if h["warc-type"] == "response" else None))
-                        if len(rows) >= 500 or sum(len(r[6] or b"") for r in rows[-1:]) > 1 << 24:
+                        rows.append((number(h["warc-record-key"]), h.get("warc-target-uri"), h["warc-type"], size, digest, number(h.get("warc-refers-to-key")), body if whole else None))
+                        held, seen = held + len(body), seen + 1
+                        if len(rows) >= SLICE_ROWS or held >= SLICE_BYTES:
                             yield _batch(rows)
-                            rows = []
+                            rows, held = [], 0
+                    if (seen, stream.bytes, stream.sha.hexdigest()) != (records, size_of, sha):
+                        raise ValueError(f"{name}: its records, bytes or digest are not those of the manifest")
                 yield _batch(rows)
 
     def _batch(rows):
@@ -192,7 +240,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
         cols = list(zip(*rows)) if rows else [[]] * 7
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["id", "url", "type", "payload_bytes", "payload_digest", "refers_to", "payload"])
 
-    return files.select("file").repartition(n, "file").mapInArrow(run, schema)
+    return files.repartition(n, "file").mapInArrow(run, schema)
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
