@@ -1,21 +1,27 @@
 """Main text of HTML pages by line-block distribution.
 
-Markup is stripped into lines, one a block element. Parts that the markup itself
-names as menus, headers, footers, sidebars, notices, adverts, forms, scripts,
-styles or reader comments are stripped with it, and so is all outside an
-article or main element where there is one; what is stripped leaves one line of
-length zero, tags alone leave none. The lengths are summed over sliding windows of lines. The main text begins
-before the first surge point, where the sum jumps to the level of running text,
-and ends after the last, each where the sum falls to nothing; all lines with text
-between the two are kept. Pages with an article have one level: any text. Without,
-the level is a share of the page's densest window and lines that are mostly links
-count zero.
+Markup is stripped into lines, one a block element, each with a length. Markup only
+weighs: text in an article or main element counts in full, on pages with such an
+element text outside counts OUTSIDE of it, on others lines that are mostly links count
+zero. Parts that the markup itself names as menus, headers, footers, sidebars,
+notices, adverts, forms, scripts, styles or reader comments leave one line of length
+zero, the edges of an article as many as a window has.
+
+The lengths are summed over sliding windows of lines. A text begins at a surge
+point, where the sum rises over the level of running text, a share of the page's
+densest window; it reaches back and on over the lines with length next to it, to dive points, where
+the sum of a whole window falls to nothing. What lies in such a stretch is kept; on
+pages without an article also what lies between two of them.
 
 Defined results: a null or empty page, and one without text, gives the empty
 text. Unclosed, misnested or cut-off markup is read as far as it goes: a
-boilerplate element ends where HTML implies it, or with the element around it. Character references are
-decoded; white space within a block becomes one space. Repeated rows are each
-extracted. Columns other than the named ones are not looked at.
+boilerplate element ends where HTML implies it, or with the element around it. A class
+or id names boilerplate if all its words do or are of common use with them
+(`site-footer`, but not `related-work`). Drawings, and what browsers show only where
+they lack a feature (noscript, object, canvas, audio, video), hold no text; formulas do.
+Character references are decoded; white space within a block becomes one space. NUL
+characters go, as HTML has it. Repeated rows are each extracted. Columns other than the
+named ones are not looked at.
 """
 
 from __future__ import annotations
@@ -28,9 +34,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import small_batches, table
+from ._common import named, sliced, table
 
-_SKIP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe|object|canvas|math)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>", re.S | re.I)
+_SKIP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe|object|canvas|annotation|annotation-xml)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>", re.S | re.I)
 _TAG = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']|"[^"]*"|'[^']*')*)/?>?""")
 _ATTR = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|itemtype)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 
@@ -45,7 +51,17 @@ NAMES = frozenset(
     "masthead menu modal nav navbar navigation newsletter notice notification overlay pager pagination popup promo promotion related respond "
     "share sharing sidebar sidebars signup skip social sponsor sponsored subscribe subscription toolbar topbar widget widgets".split()
 )
+#: Words that go with them in such names.
+WITH = frozenset(
+    "site main page top bottom left right upper lower bar box list block container wrapper wrap inner outer inside panel area section item items row col column content links link posts post articles "
+    "article entry entries stories story bottom primary secondary global local mobile desktop header head title body menu form button buttons btn policy message msg slot unit text icon icons media "
+    "network networks tag tags thread reply replies author feed more next prev previous the by in on 1 2 3 4".split()
+)
 WINDOW = 3
+#: What a character outside the article counts on pages with one.
+OUTSIDE = 1e-7
+#: Share of the densest window that is running text, with and without an article.
+LEVEL = {True: 0.02, False: 0.25}
 #: Elements that end at the next start tag of one of these, or where the element around them ends.
 _P_END = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split())
 _GROUPS = frozenset("tbody thead tfoot".split())
@@ -60,9 +76,10 @@ def _named(attrs: str) -> bool:
         if name == "role" and value.lower() in ROLES:
             return True
         if name in ("class", "id"):
-            words = re.split(r"[^a-z0-9]+", re.sub(r"([a-z0-9])([A-Z])", r"\1-\2", value).lower())
-            if not NAMES.isdisjoint(words):
-                return True
+            for token in re.sub(r"([a-z0-9])([A-Z])", r"\1-\2", value).lower().split():
+                words = [w for w in re.split(r"[^a-z0-9]+", token) if w]
+                if not NAMES.isdisjoint(words) and all(w in NAMES or w in WITH for w in words):
+                    return True
     return False
 
 
@@ -101,10 +118,14 @@ def lines(page: str) -> list[tuple[str, bool, float]]:
     def line(gap: bool = False) -> None:
         nonlocal linked, total, parts
         text = " ".join(html.unescape("".join(parts)).split())
-        if text or gap:
+        if text or (gap and not (out and not out[-1][0])):  # parts that go in a row leave one line
             out.append((text, inside > 0, linked / total if total else 0.0))
         parts, linked, total = [], 0, 0
 
+    def edge() -> None:
+        if not inside:
+            out.extend([("", False, 0.0)] * WINDOW)
+
     at = 0
     for k, m in enumerate(tags):
         add(page[at : m.start()])
@@ -146,6 +167,7 @@ def lines(page: str) -> list[tuple[str, bool, float]]:
         if close:
             if name in ("article", "main"):
                 inside = max(0, inside - 1)
+                edge()
             continue
         bad = name in DROPPED or (name == "header" and not inside) or (name not in ("article", "main", "body", "html") and bool(m[3]) and _named(m[3]))
         if bad and name not in VOID and (name == "p" or ends.get(name, -1) > k):
@@ -154,29 +176,33 @@ def lines(page: str) -> list[tuple[str, bool, float]]:
         if name in BLOCKS and name not in VOID:
             around.append(name)
         if name in ("article", "main"):
+            edge()
             inside += 1
     add(page[at:])
     line()
     return out
 
 
-def main_lines(found: list[tuple[str, bool, float]]) -> list[str]:
+def blocks(size: np.ndarray, window: int) -> np.ndarray:
+    """The distribution: for each line the sum of its length and those of the window - 1 lines after it."""
+    total = np.r_[np.cumsum(size), np.full(window - 1, size.sum())]
+    return total[window - 1 :] - np.r_[0, total[: len(size) - 1]]
+
+
+def main_lines(found: list[tuple[str, bool, float]], window: int = WINDOW) -> list[str]:
     """The lines between surge and dive points of the line-block distribution."""
     marked = any(inside and text for text, inside, _ in found)
-    size = np.array([len(t) if (inside if marked else share <= 0.5) else 0 for t, inside, share in found], np.int64)
+    size = np.array([len(t) * ((1.0 if inside else OUTSIDE) if marked else share <= 0.5) for t, inside, share in found])
     if not size.any():
         return []
-    block = np.convolve(size, np.ones(WINDOW, np.int64))[WINDOW - 1 :]  # sum over this line and those after it
-    if marked:
-        return [found[k][0] for k in np.flatnonzero(size)]
-    level = 0.25 * block.max()
-    surge = np.flatnonzero((size > 0) & (block > level))
-    a, b = int(surge[0]), int(surge[-1])
-    while (before := np.flatnonzero(size[max(0, a - WINDOW) : a])).size:  # shorter text next to it
-        a = max(0, a - WINDOW) + int(before[0])
-    while (after := np.flatnonzero(size[b + 1 : b + 1 + WINDOW])).size:
-        b += 1 + int(after[-1])
-    return [t for t, _, _ in found[a : b + 1] if t]
+    block = blocks(size, window)
+    level = LEVEL[marked] * block.max()
+    at = np.flatnonzero(size)
+    dives = np.flatnonzero(np.diff(at) > window) + 1  # between these lines a window holds nothing
+    spans = [(int(part[0]), int(part[-1])) for part in np.split(at, dives) if (block[part] > level).any()]
+    if not marked:
+        spans = [(spans[0][0], spans[-1][1])]
+    return [t for a, b in spans for t, _, _ in found[a : b + 1] if t]
 
 
 def main_text(page: str | None) -> str:
@@ -185,15 +211,14 @@ def main_text(page: str | None) -> str:
 
 def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id, url, text) of every row."""
-    kind = df.select(F.col(id_col)).schema[0].dataType.simpleString()
+    kind = df.select(named(id_col)).schema[0].dataType.simpleString()
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches, 2):
             texts = [main_text(x) for x in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], ["id", "url", "text"])
 
-    small_batches(df.sparkSession)
-    return df.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")).mapInArrow(run, f"id {kind}, url string, text string")
+    return df.select(named(id_col).alias("id"), named(url_col).alias("url"), named(html_col).alias("html")).mapInArrow(run, f"id {kind}, url string, text string")
 
 
 def op8_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
