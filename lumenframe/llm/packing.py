@@ -11,6 +11,10 @@ vocabulary allows), padded to the row's length; the cumulative segment lengths;
 the places where positions start again from 0; and each segment's document and
 part, from which `unpack` restores all documents.
 
+Rows and their pack_ids follow from how Spark splits the input, so they are the same
+for the same files read in the same way, and unique always; the segments are the
+same however it is split.
+
 Defined results: null and empty texts have no tokens and no segment. Null ids
 are kept as null. Repeated rows are each packed. An empty table gives no rows.
 Columns other than id and text are not looked at.
@@ -19,6 +23,8 @@ Columns other than id and text are not looked at.
 from __future__ import annotations
 
 import base64
+import hashlib
+import io
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import small_batches, table
+from ._common import named, sliced, table
 from ._files import Staged
 
 #: The split pattern that goes with the vocabulary files of byte-level BPE (a fixed value of theirs).
@@ -101,10 +107,9 @@ def best_fit(sizes: list[int], length: int) -> list[list[int]]:
 def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = ROW, path: str = VOCABULARY, pad_id: int = 0) -> DataFrame:
     """(pack_id, n_tokens, input_ids, cu_seqlens, position_resets, doc_ids, parts): one row a packed row of `length` ids."""
     spark = df.sparkSession
-    small_batches(spark)
     raw = vocabulary(path)
-    kind = df.select(F.col(id_col)).schema[0].dataType.simpleString()
-    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    kind = df.select(named(id_col)).schema[0].dataType.simpleString()
+    docs = df.select(named(id_col).alias("id"), named(text_col).alias("text"))
 
     def run(batches):
         enc = encoder(raw)
@@ -139,7 +144,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length:
                 yield pa.RecordBatch.from_arrays(cols, ["pack_id", "n_tokens", "input_ids", "cu_seqlens", "position_resets", "doc_ids", "parts"])
             ids, parts, pieces, held = [], [], [], 0
 
-        for b in batches:
+        for b in sliced(batches, 1):
             id_type = b.schema.field(0).type
             for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if not text:
@@ -158,17 +163,16 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length:
     return docs.mapInArrow(run, f"pack_id long, n_tokens int, input_ids binary, cu_seqlens array<int>, position_resets array<int>, doc_ids array<{kind}>, parts array<int>")
 
 
-def write_matrices(packed: DataFrame, folder: str, length: int = ROW, rows: int = 4096, item: int = 2) -> DataFrame:
-    """Write packed rows as .npy: id matrices, position matrices, cumulative lengths and their offsets.
+def write_matrices(packed: DataFrame, folder: str, length: int = ROW, rows: int = 4096, item: int = 2) -> str:
+    """Write packed rows as .npy: id matrices, position matrices, cumulative lengths and their offsets. Returns the manifest's path.
 
-    Each task writes files of at most `rows` rows under temporary names and
-    renames them; returns (file, rows) of the matrices.
+    Each task writes files of at most `rows` rows under temporary names and renames
+    them. The manifest (name, rows, files, sha256 of the id matrix), committed with
+    _SUCCESS, lists what counts; files of lost tasks do not.
     """
     dtype = np.uint16 if item == 2 else np.uint32
 
     def npy(x: np.ndarray) -> bytes:
-        import io
-
         f = io.BytesIO()
         np.save(f, x)
         return f.getvalue()
@@ -179,30 +183,33 @@ def write_matrices(packed: DataFrame, folder: str, length: int = ROW, rows: int
 
         def flush():
             nonlocal held, n
-            name = f"pack-{context.partitionId():05d}-{n:05d}"
+            # Two attempts at a task may pack otherwise, so their files have names of their own.
+            name = f"pack-{context.partitionId():05d}-{attempt}-{n:05d}"
             ids = np.stack([np.frombuffer(r[0], dtype) for r in held])
             position = np.zeros((len(held), length), np.uint32)
             for k, (_, cu) in enumerate(held):
                 for a, b in zip(cu, cu[1:]):
                     position[k, a:b] = np.arange(b - a)
             cu = [r[1] for r in held]
-            for kind, x in (("ids", ids), ("positions", position), ("cu_seqlens", np.concatenate(cu)), ("cu_offsets", np.cumsum([0] + [len(c) for c in cu]))):
+            raw = npy(ids)
+            for kind, x in (("ids", raw), ("positions", npy(position)), ("cu_seqlens", npy(np.concatenate(cu))), ("cu_offsets", npy(np.cumsum([0] + [len(c) for c in cu])))):
                 f = Staged(folder, f"{name}.{kind}.npy", attempt)
-                f.write(npy(x))
+                f.write(x)
                 f.commit()
-            done.append((f"{name}.ids.npy", len(held)))
+            done.append((name, len(held), hashlib.sha256(raw).hexdigest()))
             held, n = [], n + 1
 
-        for b in batches:
+        for b in sliced(batches, 0):
             for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 held.append(r)
                 if len(held) == rows:
                     flush()
         if held:
             flush()
-        yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.int64())], ["file", "rows"])
+        yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.int64()), pa.array([d[2] for d in done], pa.string())], ["name", "rows", "sha256"])
 
-    return packed.select("input_ids", "cu_seqlens").mapInArrow(run, "file string, rows long")
+    packed.select("input_ids", "cu_seqlens").mapInArrow(run, "name string, rows long, sha256 string").write.json(manifest := f"{folder}/_manifest")
+    return manifest
 
 
 def unpack(rows: list, raw: bytes, item: int = 2) -> dict:
