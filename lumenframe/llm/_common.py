@@ -120,28 +120,32 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-FILTER_BITS = 1 << 24
+#: Bits of a Bitmap: 2 MB, or where more are asked for 32 MB at most.
+FILTER_BITS, MOST_BITS = 1 << 24, 1 << 28
 
 
 def known(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Which of the hashes (longs) a Bitmap's bits hold."""
-    at = hashes & (FILTER_BITS - 1)
+    at = hashes & (8 * len(bits) - 1)
     return ((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
 
 
 class Bitmap:
-    """Which hashes, modulo FILTER_BITS, occur among the keys (one column of any number of rows): 2 MB, whatever their number.
+    """Which hashes, modulo the number of bits, occur among the keys (one column of any number of rows).
 
-    Keys that are hashes already, as longs, stand for themselves.
+    It has at least `size` bits up to MOST_BITS, whatever the number of keys. Keys
+    that are hashes already, as longs, stand for themselves.
     """
 
-    def __init__(self, keys: DataFrame, hashed: bool = False) -> None:
-        h = F.pmod(F.col(keys.columns[0]) if hashed else F.xxhash64(keys.columns[0]), F.lit(FILTER_BITS)) + 1  # buckets count from 1
+    def __init__(self, keys: DataFrame, hashed: bool = False, size: int = FILTER_BITS) -> None:
+        n = FILTER_BITS
+        while n < min(size, MOST_BITS):
+            n *= 2
+        h = F.pmod(F.col(keys.columns[0]) if hashed else F.xxhash64(keys.columns[0]), F.lit(n)) + 1  # buckets count from 1
         parts = keys.select(F.bitmap_bucket_number(h).alias("n"), F.bitmap_bit_position(h).alias("p")).groupBy("n").agg(F.bitmap_construct_agg("p").alias("b")).collect()
-        size = 4096
-        bits = np.zeros((FILTER_BITS // (8 * size) + 2) * size, np.uint8)
-        for n, b in parts:
-            bits[(n - 1) * size : n * size] = np.frombuffer(b, np.uint8)
+        bits = np.zeros(n // 8, np.uint8)
+        for k, b in parts:
+            bits[(k - 1) * 4096 : k * 4096] = np.frombuffer(b, np.uint8)[: n // 8 - (k - 1) * 4096]
         self.shared = keys.sparkSession.sparkContext.broadcast(bits)  # bit p of bucket n is hash (n - 1) * 32768 + p
 
     def keep(self, df: DataFrame, column: str) -> DataFrame:
@@ -153,7 +157,7 @@ class Bitmap:
             for b in batches:
                 yield pa.RecordBatch.from_arrays(b.filter(pa.array(known(bits, b.column(b.num_columns - 1).to_numpy()))).columns[:-1], names)
 
-        tagged = df.withColumn("_h", F.pmod(F.xxhash64(column), F.lit(FILTER_BITS)))
+        tagged = df.withColumn("_h", F.xxhash64(column))
         return tagged.mapInArrow(run, df.schema)
 
 
