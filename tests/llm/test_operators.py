@@ -259,8 +259,8 @@ def test_pigeonring_loses_no_link(monkeypatch, shift, refine):
     near = [(i, j) for i in range(n) for j in range(i) if np.bitwise_count(x[i, 0] ^ x[j, 0]) <= 2]
     found = []
     cuts = simhash.bounds(64, 3)
-    for lo, hi in cuts:
-        key = simhash._segment(x, lo, hi)
+    for i, (lo, hi) in enumerate(cuts):
+        key = simhash._key(x, i, lo, hi)
         o = np.argsort(key, kind="stable")
         found += simhash._links(key[o], np.arange(n)[o], x[o], 2, cuts, True)
 
@@ -397,9 +397,10 @@ def test_packing_round_trip(spark):
         assert len(r.input_ids) == 256 and r.cu_seqlens[-1] == r.n_tokens <= 128 and r.position_resets == r.cu_seqlens[:-1]
     assert packing.pack(docs(spark, [])).count() == 0
     folder = new_folder(spark, "npy")
-    files = packing.write_matrices(packing.pack(docs(spark, texts), length=128), folder, length=128, rows=5).collect()
-    ids = np.concatenate([np.load(f"{folder}/{f.file}") for f in files])
-    pos = np.concatenate([np.load(f"{folder}/{f.file.replace('.ids.', '.positions.')}") for f in files])
+    files = spark.read.json(packing.write_matrices(packing.pack(docs(spark, texts), length=128), folder, length=128, rows=5)).collect()
+    ids = np.concatenate([np.load(f"{folder}/{f.name}.ids.npy") for f in files])
+    pos = np.concatenate([np.load(f"{folder}/{f.name}.positions.npy") for f in files])
+    assert all(f.sha256 == hashlib.sha256(open(f"{folder}/{f.name}.ids.npy", "rb").read()).hexdigest() for f in files)
     assert ids.shape == pos.shape == (len(packed), 128) and pos.max() < 128
 
 
