@@ -53,11 +53,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after the other over documents, each written and read again."""
-    docs = _common.table(spark, sf_dir, "documents")
+    """The stages one after the other over documents, each written and read again; a copy goes when the next is written."""
+    docs, last = _common.table(spark, sf_dir, "documents"), None
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs.write.parquet(folder := _common.new_folder(spark, f"pipeline-{name}"))
             docs = spark.read.schema(docs.schema).parquet(folder)
+            if last:
+                _common.remove(spark, last)
+            last = folder
     return docs
