@@ -24,7 +24,7 @@ def compare(a: DataFrame, b: DataFrame, width: int, height: int, channels: int,
     d = a.join(b.withColumnRenamed("v", "w"), ["image_id", "y", "x", "c"]).withColumn("d", F.col("w") - F.col("v"))
     per = d.groupBy("image_id", "y", "x").agg(*[F.sum(F.when(F.col("c") == k, F.col("d")).otherwise(0)).alias(f"s{k}") for k in range(channels)], F.sum(F.col("d") * F.col("d")).alias("sq"), F.max(F.abs("d")).alias("worst"))
     per = per.join(small_table(per, _cells(width, cols), "x long, cell_x long"), "x").join(small_table(per, _cells(height, rows), "y long, cell_y long"), "y")
-    per = per.groupingSets([["image_id", "cell_y", "cell_x"], ["image_id"]], "image_id", "cell_y", "cell_x") if hasattr(per, "groupingSets") else per.rollup("image_id", "cell_y", "cell_x")
+    per = per.groupingSets([["image_id", "cell_y", "cell_x"], ["image_id"]], "image_id", "cell_y", "cell_x")
     n = F.count("*")
     mse = F.sum("sq") / (n * channels)
     out = per.agg(
@@ -38,8 +38,8 @@ def compare(a: DataFrame, b: DataFrame, width: int, height: int, channels: int,
     return out
 
 
-def ssim(a: DataFrame, b: DataFrame, width: int, height: int) -> DataFrame:
-    """Mean SSIM of 8x8 windows at steps of 4; a, b: luma (image_id, y, x, v)."""
+def _ssim_windows(a: DataFrame, b: DataFrame, width: int, height: int) -> DataFrame:
+    """(image_id, wy, wx, ssim) of 8x8 windows at steps of 4."""
     ww, wh = min(8, width), min(8, height)
     over = lambda n, w, k: small_table(a, [(i, s) for s in range(0, n - w + 1, 4) for i in range(s, s + w)], f"{k} long, w{k} long")
     hit = a.join(b.withColumnRenamed("v", "w"), ["image_id", "y", "x"]).join(over(width, ww, "x"), "x").join(over(height, wh, "y"), "y")
@@ -48,7 +48,36 @@ def ssim(a: DataFrame, b: DataFrame, width: int, height: int) -> DataFrame:
     ma, mb = F.col("a") / n, F.col("b") / n
     va, vb, cov = F.col("aa") / n - ma * ma, F.col("bb") / n - mb * mb, F.col("ab") / n - ma * mb
     one = (ma * mb * 2 + C1) * (cov * 2 + C2) / ((ma * ma + mb * mb + C1) * (va + vb + C2))
-    return s.groupBy("image_id").agg(F.avg(one).alias("ssim"))
+    return s.select("image_id", "wy", "wx", one.alias("ssim"))
+
+
+def ssim(a: DataFrame, b: DataFrame, width: int, height: int) -> DataFrame:
+    """(image_id, ssim): the mean of 8x8 windows at steps of 4; a, b: luma (image_id, y, x, v)."""
+    return _ssim_windows(a, b, width, height).groupBy("image_id").agg(F.avg("ssim").alias("ssim"))
+
+
+def ssim_cells(a: DataFrame, b: DataFrame, width: int, height: int, rows: int, cols: int) -> DataFrame:
+    """(image_id, cell_y, cell_x, ssim): the mean over the windows whose centre is in a grid cell.
+
+    A cell without a window's centre is one window as a whole.
+    """
+    w = _ssim_windows(a, b, width, height)
+    cell = lambda n, k: {i: c for i, c in _cells(n, k)}
+    place = lambda at, size, n, k: [(s, cell(n, k)[min(n - 1, s + size // 2)]) for s in at]
+    ww, wh = min(8, width), min(8, height)
+    ys, xs = place(range(0, height - wh + 1, 4), wh, height, rows), place(range(0, width - ww + 1, 4), ww, width, cols)
+    found = w.join(small_table(w, ys, "wy long, cell_y long"), "wy").join(small_table(w, xs, "wx long, cell_x long"), "wx").groupBy("image_id", "cell_y", "cell_x").agg(F.avg("ssim").alias("ssim"))
+    full = {(cy, cx) for _, cy in ys for _, cx in xs}
+    empty = [(cy, cx) for cy in sorted(set(cell(height, rows).values())) for cx in sorted(set(cell(width, cols).values())) if (cy, cx) not in full]
+    if not empty:
+        return found
+    pix = a.join(b.withColumnRenamed("v", "w"), ["image_id", "y", "x"])
+    pix = pix.join(small_table(pix, _cells(height, rows), "y long, cell_y long"), "y").join(small_table(pix, _cells(width, cols), "x long, cell_x long"), "x").join(small_table(pix, empty, "cell_y long, cell_x long"), ["cell_y", "cell_x"])
+    v, o = F.col("v"), F.col("w")
+    m = pix.groupBy("image_id", "cell_y", "cell_x").agg(F.avg("v").alias("ma"), F.avg("w").alias("mb"), F.avg(v * v).alias("aa"), F.avg(o * o).alias("bb"), F.avg(v * o).alias("ab"))
+    ma, mb = F.col("ma"), F.col("mb")
+    one = (ma * mb * 2 + C1) * ((F.col("ab") - ma * mb) * 2 + C2) / ((ma * ma + mb * mb + C1) * (F.col("aa") - ma * ma + F.col("bb") - mb * mb + C2))
+    return found.unionByName(m.select("image_id", "cell_y", "cell_x", one.alias("ssim")))
 
 
 def sharpness(luma: DataFrame) -> DataFrame:

@@ -85,9 +85,11 @@ def resize(pixels: DataFrame, size: tuple[int, int], to: tuple[int, int], kind:
 
 def fixed_taps(src: int, dst: int) -> list[tuple[int, int, int]]:
     """Area weights in 1/16384, summing to exactly that; the largest takes the rest."""
-    out = []
-    for d in range(dst):
-        row = [(s, int(math.floor(w * 16384 + 0.5))) for e, s, w in axis_taps(src, dst, "area") if e == d]
+    out: list[tuple[int, int, int]] = []
+    by: dict[int, list[tuple[int, int]]] = {}
+    for d, s, w in axis_taps(src, dst, "area"):
+        by.setdefault(d, []).append((s, int(math.floor(w * 16384 + 0.5))))
+    for d, row in by.items():
         best = max(range(len(row)), key=lambda k: (row[k][1], -k))
         row[best] = (row[best][0], row[best][1] + 16384 - sum(w for _, w in row))
         out += [(d, s, w) for s, w in row]
@@ -171,36 +173,33 @@ def orient(pixels: DataFrame, size: tuple[int, int], orientation) -> DataFrame:
     return _moved(pixels, ny, nx)
 
 
-def warp_affine_taps(size: tuple[int, int], to: tuple[int, int], m: list[float], kind: str) -> tuple[list, list]:
-    """(dy, dx, sy, sx, w) of the destinations that fall on the source, and the others (dy, dx)."""
-    taps, outside = [], []
-    for dy in range(to[1]):
-        for dx in range(to[0]):
-            px, py = dx + 0.5, dy + 0.5
-            sx, sy = m[0] * px + m[1] * py + m[2], m[3] * px + m[4] * py + m[5]
-            if not (0 <= sx <= size[0] and 0 <= sy <= size[1]):
-                outside.append((dy, dx))
-                continue
-            if kind == "nearest":
-                hit = [(math.floor(sy), math.floor(sx), 1.0)]
-            else:
-                u, v = sx - 0.5, sy - 0.5
-                x0, y0 = math.floor(u), math.floor(v)
-                near, weigh = (range(0, 2), lambda t: 1 - abs(t)) if kind == "bilinear" else (range(-1, 3), _cubic)
-                hit = [(y0 + j, x0 + i, weigh(y0 + j - v) * weigh(x0 + i - u)) for j in near for i in near]
-            merged: dict = {}
-            for y, x, w in hit:
-                k = (_clamp(y, size[1]), _clamp(x, size[0]))
-                merged[k] = merged.get(k, 0.0) + w
-            taps += [(dy, dx, y, x, w) for (y, x), w in merged.items()]
-    return taps, outside
-
-
 def warp_affine_u8(pixels: DataFrame, size: tuple[int, int], to: tuple[int, int], m: list[float], channels: int, kind: str = "bilinear", fill: list[int] | None = None) -> DataFrame:
-    """Every destination's centre is mapped by m (2x3) into the source; outside of it the fill shows."""
-    taps, _ = warp_affine_taps(size, to, m, kind)
-    t = small_table(pixels, taps, "dy long, dx long, y long, x long, w double")
-    hit = pixels.join(t, ["y", "x"]).groupBy("image_id", F.col("dy").alias("y"), F.col("dx").alias("x"), "c").agg(as_u8(F.round(F.sum(F.col("v") * F.col("w")), 6)).alias("v"))
+    """Every destination's centre is mapped by m (2x3) into the source; outside of it the fill shows.
+
+    The destinations of each image are made by Spark, each with its taps, and joined
+    with the pixels on image and place, so neither the driver nor one key holds a whole picture.
+    """
+    cells = F.explode(F.sequence(F.lit(0), F.lit(to[0] * to[1] - 1))).alias("_p")
+    px, py = F.col("dx") + 0.5, F.col("dy") + 0.5
+    g = pixels.select("image_id").distinct().select("image_id", cells)
+    g = g.select("image_id", F.floor(F.col("_p") / to[0]).alias("dy"), (F.col("_p") % to[0]).cast("long").alias("dx"))
+    g = g.select("image_id", "dy", "dx", (px * m[0] + py * m[1] + m[2]).alias("sx"), (px * m[3] + py * m[4] + m[5]).alias("sy"))
+    g = g.where(F.col("sx").between(0, size[0]) & F.col("sy").between(0, size[1]))
+    edge = lambda e, n: F.least(F.greatest(e.cast("long"), F.lit(0)), F.lit(n - 1))
+    if kind == "nearest":
+        taps = g.select("image_id", "dy", "dx", edge(F.floor("sy"), size[1]).alias("y"), edge(F.floor("sx"), size[0]).alias("x"), F.lit(1.0).alias("w"))
+    else:
+        near = [0, 1] if kind == "bilinear" else [-1, 0, 1, 2]
+        off = F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.lit(i).alias("i")) for j in near for i in near])).alias("o")
+        u, v = F.col("sx") - 0.5, F.col("sy") - 0.5
+        g = g.select("image_id", "dy", "dx", u.alias("u"), v.alias("v"), off).select("image_id", "dy", "dx", "u", "v", (F.floor("u") + F.col("o.i")).alias("qx"), (F.floor("v") + F.col("o.j")).alias("qy"))
+
+        def weigh(t):
+            t = F.abs(t)
+            return 1 - t if kind == "bilinear" else F.when(t < 1, t * t * t * 1.5 - t * t * 2.5 + 1).otherwise(t * t * t * -0.5 + t * t * 2.5 - t * 4 + 2)
+
+        taps = g.select("image_id", "dy", "dx", edge(F.col("qy"), size[1]).alias("y"), edge(F.col("qx"), size[0]).alias("x"), (weigh(F.col("qy") - F.col("v")) * weigh(F.col("qx") - F.col("u"))).alias("w"))
+    hit = pixels.join(taps, ["image_id", "y", "x"]).groupBy("image_id", F.col("dy").alias("y"), F.col("dx").alias("x"), "c").agg(as_u8(F.round(F.sum(F.col("v") * F.col("w")), 6)).alias("v"))
     return pad(hit, to, channels, (0, 0), fill or [0] * channels)
 
 

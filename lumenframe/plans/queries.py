@@ -179,11 +179,27 @@ _stencil("k2_stencil_hwc", RGBA32, rgba32, 4, "clamp", lambda e: f"least(greates
 
 
 # ---- G: geometry
-def _values(name, taps):
-    return f"{name}(d, s, w) AS (VALUES " + ", ".join(f"({d}, {s}, CAST({w!r} AS DOUBLE))" for d, s, w in taps) + ")"
-
-
-def _resampled(tx, ty, inner, digits=4):
+def _axis(name, n, m, kind):
+    """The taps (d, s, w) of one axis from n samples to m, by the filters' own formulas; places beyond the edges are the edge's."""
+    sc = f"(CAST({n} AS DOUBLE) / {m})"
+    at = f"(SELECT d, (d + 0.5) * {sc} - 0.5 AS c FROM (SELECT CAST(unnest(range({m})) AS BIGINT) AS d))"
+    edge = lambda e: f"least(greatest(CAST({e} AS BIGINT), 0), {n - 1})"
+    if n == m and kind != "area":
+        return f"{name} AS (SELECT d, d AS s, CAST(1 AS DOUBLE) AS w FROM {at})"
+    if kind == "nearest":
+        return f"{name} AS (SELECT d, {edge('floor(c + 0.5)')} AS s, CAST(1 AS DOUBLE) AS w FROM {at})"
+    if kind == "bilinear":
+        return f"{name} AS (SELECT d, {edge('floor(c) + k')} AS s, 1 - abs(floor(c) + k - c) AS w FROM {at}, (SELECT unnest(range(2)) AS k))"
+    if kind == "bicubic":
+        w = "CASE WHEN t < 1 THEN 1.5 * t * t * t - 2.5 * t * t + 1 ELSE -0.5 * t * t * t + 2.5 * t * t - 4 * t + 2 END"
+        return f"{name} AS (SELECT d, {edge('q')} AS s, {w} AS w FROM (SELECT d, floor(c) + k AS q, abs(floor(c) + k - c) AS t FROM {at}, (SELECT unnest(range(-1, 3)) AS k)))"
+    if kind == "lanczos3":
+        w = "CASE WHEN abs(t) < 1e-7 THEN 1 ELSE 3 * sin(pi() * t) * sin(pi() * t / 3) / (pi() * t * pi() * t) END"
+        return f"{name} AS (SELECT d, {edge('q')} AS s, w / sum(w) OVER (PARTITION BY d) AS w FROM (SELECT d, q, {w} AS w FROM (SELECT d, q, (q - c) / greatest(1, {sc}) AS t FROM {at}, (SELECT unnest(range(-12, {n + 12})) AS q)) WHERE abs(t) < 3))"
+    return f"{name} AS (SELECT d, s, w / {sc} AS w FROM (SELECT d, s, least(s + 1, (d + 1) * {sc}) - greatest(s, d * {sc}) AS w FROM {at}, (SELECT CAST(unnest(range({n})) AS BIGINT) AS s)) WHERE w > 1e-9)"
+
+
+def _resampled(inner, digits=4):
     return f"SELECT p.image_id, ty.d AS y, tx.d AS x, p.c, round(sum(p.v * tx.w * ty.w), {digits}) AS v FROM {inner} p JOIN tx ON p.x = tx.s JOIN ty ON p.y = ty.s GROUP BY ALL"
 
 
@@ -192,9 +208,7 @@ def _out(sql):
 
 
 def _resize(name, kind, to):
-    tx, ty = G.axis_taps(8, to[0], kind), G.axis_taps(8, to[1], kind)
-
-    @query(name, f"WITH {PLANE}, {_values('tx', tx)}, {_values('ty', ty)} {_out(_resampled(tx, ty, 'pix'))}")
+    @query(name, f"WITH {PLANE}, {_axis('tx', 8, to[0], kind)}, {_axis('ty', 8, to[1], kind)} {_out(_resampled('pix'))}")
     def run(spark, sf):
         return rounded(G.resize(plane(spark, sf), (8, 8), to, kind), "v", digits=4)
 
@@ -209,7 +223,9 @@ _resize("g17_resample", "nearest", (13, 6))
 
 
 def _fixed(name):
-    return f"{name}(d, s, w) AS (VALUES " + ", ".join(f"({d}, {s}, {w})" for d, s, w in G.fixed_taps(8, 5)) + ")"
+    """Area weights of 8 to 5 samples in 1/16384, the largest (of equals the first) with what is left of 16384."""
+    whole = f"SELECT d, s, CAST(floor(w * 16384 + 0.5) AS BIGINT) AS w FROM {name}0"
+    return f"{_axis(name + '0', 8, 5, 'area')}, {name} AS (SELECT d, s, CAST(w + CASE WHEN row_number() OVER (PARTITION BY d ORDER BY w DESC, s) = 1 THEN 16384 - sum(w) OVER (PARTITION BY d) ELSE 0 END AS BIGINT) AS w FROM ({whole}))"
 
 
 @query("g6_resize_area_u8", f"WITH {PLANE8}, {_fixed('tx')}, {_fixed('ty')}, h AS (SELECT image_id, y, tx.d AS x, c, (CAST(sum(v * w) AS BIGINT) + 32) >> 6 AS v FROM pix JOIN tx ON x = s GROUP BY ALL) {_out('SELECT image_id, ty.d AS y, x, c, (CAST(sum(v * w) AS BIGINT) + 2097152) >> 22 AS v FROM h JOIN ty ON y = s GROUP BY ALL')}")
@@ -217,10 +233,10 @@ def g6(spark, sf):
     return G.resize_u8(plane8(spark, sf), (8, 8), (5, 5), "area")
 
 
-_T43 = f"{_values('tx', G.axis_taps(4, 3, 'bilinear'))}, {_values('ty', G.axis_taps(4, 5, 'bilinear'))}"
+_T43 = f"{_axis('tx', 4, 3, 'bilinear')}, {_axis('ty', 4, 5, 'bilinear')}"
 
 
-@query("g8_resize_chw", f"WITH {RGBA32}, {_T43}, r AS ({_resampled(0, 0, 'pix')}) SELECT image_id, CAST((c * 5 + y) * 3 + x AS BIGINT) AS pos, v FROM r")
+@query("g8_resize_chw", f"WITH {RGBA32}, {_T43}, r AS ({_resampled('pix')}) SELECT image_id, CAST((c * 5 + y) * 3 + x AS BIGINT) AS pos, v FROM r")
 def g8(spark, sf):
     out = G.resize(rgba32(spark, sf), (4, 4), (3, 5))
     return rounded(out.select("image_id", L.chw(3, 5).cast("long").alias("pos"), "v"), "v", digits=4)
@@ -230,10 +246,10 @@ def _u8(sql):
     return f"SELECT image_id, y, x, c, CAST(floor(least(greatest(v, 0), 255) + 0.5) AS BIGINT) AS v FROM ({sql})"
 
 
-_R55 = f"{_values('tx', G.axis_taps(8, 5, 'bilinear'))}, {_values('ty', G.axis_taps(8, 5, 'bilinear'))}"
+_R55 = f"{_axis('tx', 8, 5, 'bilinear')}, {_axis('ty', 8, 5, 'bilinear')}"
 
 
-@query("g9_resize_u8", f"WITH {PLANE8}, {_R55} {_out(_u8(_resampled(0, 0, 'pix', 6)))}")
+@query("g9_resize_u8", f"WITH {PLANE8}, {_R55} {_out(_u8(_resampled('pix', 6)))}")
 def g9(spark, sf):
     return G.resize_u8(plane8(spark, sf), (8, 8), (5, 5))
 
@@ -247,11 +263,12 @@ def _padded(inner, ox, oy, fill):
     return f"SELECT g.image_id, g.y, g.x, g.c, CAST(coalesce(s.v, {pick.replace('CASE c', 'CASE g.c')}) AS BIGINT) AS v FROM grid g LEFT JOIN ({inner}) s ON s.image_id = g.image_id AND s.c = g.c AND s.y + {oy} = g.y AND s.x + {ox} = g.x"
 
 
-_RECT = G.letterbox_rect((4, 4), (7, 5))
-_LB = f"{_values('tx', G.axis_taps(4, _RECT[2], 'bilinear'))}, {_values('ty', G.axis_taps(4, _RECT[3], 'bilinear'))}"
+#: 4x4 into 7x5: scaled by 5 / 4 to 5x5, one column in from the left.
+_RECT = (1, 0, 5, 5)
+_LB = f"{_axis('tx', 4, 5, 'bilinear')}, {_axis('ty', 4, 5, 'bilinear')}"
 
 
-@query("g10_letterbox_u8", f"WITH {RGBA8}, {_grid(7, 5, 4)}, {_LB} {_padded(_u8(_resampled(0, 0, 'pix', 6)), _RECT[0], _RECT[1], [1, 2, 3, 200])}")
+@query("g10_letterbox_u8", f"WITH {RGBA8}, {_grid(7, 5, 4)}, {_LB} {_padded(_u8(_resampled('pix', 6)), _RECT[0], _RECT[1], [1, 2, 3, 200])}")
 def g10(spark, sf):
     return G.letterbox_u8(rgba8(spark, sf), (4, 4), (7, 5), 4, [1, 2, 3, 200])
 
@@ -296,11 +313,18 @@ MATRIX = [0.9, -0.3, 1.4, 0.25, 1.1, -1.5]
 
 
 def _warp(name, kind):
-    taps, outside = G.warp_affine_taps((8, 8), (7, 6), MATRIX, kind)
-    rows = ", ".join(f"({a}, {b}, {c}, {d}, CAST({w!r} AS DOUBLE))" for a, b, c, d, w in taps)
-    gone = ", ".join(f"({a}, {b})" for a, b in outside) or "(-1, -1)"
+    m = [f"CAST({v} AS DOUBLE)" for v in MATRIX]
+    grid = f"wg AS (SELECT dy, dx, {m[0]} * (dx + 0.5) + {m[1]} * (dy + 0.5) + {m[2]} AS sx, {m[3]} * (dx + 0.5) + {m[4]} * (dy + 0.5) + {m[5]} AS sy FROM (SELECT CAST(unnest(range(6)) AS BIGINT) AS dy), (SELECT CAST(unnest(range(7)) AS BIGINT) AS dx)), wi AS (SELECT * FROM wg WHERE sx BETWEEN 0 AND 8 AND sy BETWEEN 0 AND 8)"
+    edge = lambda e: f"least(greatest(CAST({e} AS BIGINT), 0), 7)"
+    cubic = lambda t: f"CASE WHEN {t} < 1 THEN 1.5 * {t} * {t} * {t} - 2.5 * {t} * {t} + 1 ELSE -0.5 * {t} * {t} * {t} + 2.5 * {t} * {t} - 4 * {t} + 2 END"
+    weigh = {"bilinear": lambda t: f"(1 - {t})", "bicubic": lambda t: f"({cubic(t)})"}.get(kind)
+    near = {"bilinear": "range(2)", "bicubic": "range(-1, 3)"}.get(kind)
+    if kind == "nearest":
+        taps = f"SELECT dy, dx, {edge('floor(sy)')} AS sy, {edge('floor(sx)')} AS sx, CAST(1 AS DOUBLE) AS w FROM wi"
+    else:
+        taps = f"SELECT dy, dx, {edge('qy')} AS sy, {edge('qx')} AS sx, {weigh('ty')} * {weigh('tx')} AS w FROM (SELECT dy, dx, qy, qx, abs(qy - (sy - 0.5)) AS ty, abs(qx - (sx - 0.5)) AS tx FROM (SELECT *, floor(sy - 0.5) + j AS qy, floor(sx - 0.5) + i AS qx FROM wi, (SELECT unnest({near}) AS j), (SELECT unnest({near}) AS i)))"
     inner = "SELECT image_id, CAST(dy AS BIGINT) AS y, CAST(dx AS BIGINT) AS x, c, round(sum(v * w), 6) AS v FROM pix JOIN t ON y = sy AND x = sx GROUP BY image_id, dy, dx, c"
-    sql = f"WITH {PLANE8}, t(dy, dx, sy, sx, w) AS (VALUES {rows}), o(dy, dx) AS (VALUES {gone}) {_u8(inner)} UNION ALL SELECT DISTINCT image_id, CAST(dy AS BIGINT), CAST(dx AS BIGINT), CAST(0 AS BIGINT), CAST(77 AS BIGINT) FROM pix, o WHERE dy >= 0"
+    sql = f"WITH {PLANE8}, {grid}, t AS ({taps}) {_u8(inner)} UNION ALL SELECT DISTINCT image_id, dy, dx, CAST(0 AS BIGINT), CAST(77 AS BIGINT) FROM pix, wg WHERE NOT (sx BETWEEN 0 AND 8 AND sy BETWEEN 0 AND 8)"
 
     @query(name, sql)
     def run(spark, sf):
@@ -461,11 +485,11 @@ _alpha("c19_unpremultiply", _UN, True)
 
 
 def _alpha_resize(to):
-    tx, ty = _values("tx", G.axis_taps(4, to[0], "bilinear")), _values("ty", G.axis_taps(4, to[1], "bilinear"))
+    tx, ty = _axis("tx", 4, to[0], "bilinear"), _axis("ty", 4, to[1], "bilinear")
     pre = " UNION ALL ".join(f"SELECT image_id, y, x, CAST({k} AS BIGINT) AS c, CAST({_PRE.replace('$', c) if k < 3 else 'a'} AS BIGINT) AS v FROM w" for k, c in enumerate("rgba"))
     wide = "w2 AS (SELECT image_id, y, x, max(v) FILTER (c = 0) AS r, max(v) FILTER (c = 1) AS g, max(v) FILTER (c = 2) AS b, max(v) FILTER (c = 3) AS a FROM rs GROUP BY ALL)"
     post = " UNION ALL ".join(f"SELECT image_id, CAST(y AS BIGINT) AS y, CAST(x AS BIGINT) AS x, CAST({k} AS BIGINT) AS c, CAST({_UN.replace('$', c) if k < 3 else 'a'} AS BIGINT) AS v FROM w2" for k, c in enumerate("rgba"))
-    return f"{WIDE}, {tx}, {ty}, pre AS ({pre}), rs AS ({_u8(_resampled(0, 0, 'pre', 6))}), {wide}, done AS ({post})"
+    return f"{WIDE}, {tx}, {ty}, pre AS ({pre}), rs AS ({_u8(_resampled('pre', 6))}), {wide}, done AS ({post})"
 
 
 @query("c20_resize_alpha", f"WITH {_alpha_resize((3, 5))} SELECT * FROM done")
@@ -488,7 +512,10 @@ def c25(spark, sf):
     return rgba32(spark, sf).select("image_id", L.hwc(4, 4).alias("pos"), C.f32_to_u8(F.col("v"), 255.0, 127.5).alias("v"))
 
 
-_STATS = "st(c, mean, std) AS (VALUES " + ", ".join(f"({c}, CAST({m} AS DOUBLE), CAST({s} AS DOUBLE))" for c, (m, s) in enumerate(zip(*C.PRESETS["clip"]))) + ")"
+#: Fixed values, each preset's means and deviations of red, green and blue.
+_CLIP = "(0, 0.48145466, 0.26862954), (1, 0.4578275, 0.26130258), (2, 0.40821073, 0.27577711)"
+_IMAGENET = "(0, 0.485, 0.229), (1, 0.456, 0.224), (2, 0.406, 0.225)"
+_STATS = f"st AS (SELECT c, CAST(mean AS DOUBLE) AS mean, CAST(std AS DOUBLE) AS std FROM (VALUES {_CLIP}) AS t(c, mean, std))"
 
 
 @query("c26_normalize", f"WITH {RGBA32}, {_STATS} SELECT image_id, y, x, pix.c, round((v - mean) / std, 6) AS v FROM pix JOIN st ON st.c = pix.c")
@@ -496,12 +523,12 @@ def c26(spark, sf):
     return rounded(C.normalize(rgba32(spark, sf), *C.PRESETS["clip"]), "v")
 
 
-@query("c27_presets", "SELECT * FROM (VALUES " + ", ".join(f"('{n}', CAST({c} AS BIGINT), CAST({m[c]} AS DOUBLE), CAST({s[c]} AS DOUBLE))" for n, (m, s) in C.PRESETS.items() for c in range(3)) + ") AS t(name, c, mean, std)")
+@query("c27_presets", " UNION ALL ".join(f"SELECT '{n}' AS name, CAST(c AS BIGINT) AS c, CAST(mean AS DOUBLE) AS mean, CAST(std AS DOUBLE) AS std FROM (VALUES {v}) AS t(c, mean, std)" for n, v in (("clip", _CLIP), ("imagenet", _IMAGENET), ("sam", _IMAGENET))))
 def c27(spark, sf):
     return C.presets(spark)
 
 
-_FUSED = f"WITH {RGBA8.replace('v FROM fld)', 'v FROM fld)', 1)}, {_T43}, {_STATS}, r AS ({_u8(_resampled(0, 0, 'pix', 6))}) SELECT image_id, CAST((r.c * 5 + y) * 3 + x AS BIGINT) AS pos, round((v / CAST(255 AS DOUBLE) - mean) / std, 6) AS v FROM r JOIN st ON st.c = r.c"
+_FUSED = f"WITH {RGBA8.replace('v FROM fld)', 'v FROM fld)', 1)}, {_T43}, {_STATS}, r AS ({_u8(_resampled('pix', 6))}) SELECT image_id, CAST((r.c * 5 + y) * 3 + x AS BIGINT) AS pos, round((v / CAST(255 AS DOUBLE) - mean) / std, 6) AS v FROM r JOIN st ON st.c = r.c"
 
 
 @query("c28_fused_preproc", _FUSED)
@@ -519,10 +546,8 @@ def c29(spark, sf):
 
 
 # ---- T: tiling (8x8 planes in tiles of 5 at steps of 3)
-def _tiles_sql():
-    rows = T.tile_axis(8, 5, 3)
-    vals = ", ".join(f"({k}, {i}, {s + i}, CAST({w!r} AS DOUBLE))" for k, s, m, a, b in rows for i, w in enumerate(T._ramp(m, a, b)))
-    return f"ax(t, i, p, w) AS (VALUES {vals})"
+#: Tiles of 5 at steps of 3 over 8: from 0 and from 3, two places in common, where the window falls and rises as a cosine.
+_AX = "ax AS (SELECT t, i, 3 * t + i AS p, CASE WHEN t = 1 AND i < 2 THEN 0.5 - 0.5 * cos(pi() * (i + 0.5) / 2) WHEN t = 0 AND i >= 3 THEN 0.5 - 0.5 * cos(pi() * (4 - i + 0.5) / 2) ELSE 1 END AS w FROM (SELECT CAST(unnest(range(2)) AS BIGINT) AS t), (SELECT CAST(unnest(range(5)) AS BIGINT) AS i))"
 
 
 @query("t1_feather_window", "WITH a AS (SELECT CAST(unnest(range(6)) AS BIGINT) AS i), r AS (SELECT i, CASE WHEN i < 2 THEN 0.5 - 0.5 * cos(pi() * (i + 0.5) / 2) WHEN i >= 3 THEN 0.5 - 0.5 * cos(pi() * (5 - i + 0.5) / 3) ELSE 1 END AS w FROM a) SELECT q.i AS y, p.i AS x, round(p.w * q.w, 6) AS w FROM r p CROSS JOIN r q")
@@ -530,7 +555,7 @@ def t1(spark, sf):
     return rounded(spark.createDataFrame(T.feather_window(6, 6, 2, 3, 2, 3), "y long, x long, w double"), "w")
 
 
-_SPLIT = f"WITH {PLANE}, {_tiles_sql()}, tl AS (SELECT image_id, CAST(b.t AS BIGINT) AS ty, CAST(a.t AS BIGINT) AS tx, CAST(b.i AS BIGINT) AS y, CAST(a.i AS BIGINT) AS x, c, v, a.w * b.w AS w, a.p AS px, b.p AS py FROM pix JOIN ax a ON a.p = pix.x JOIN ax b ON b.p = pix.y)"
+_SPLIT = f"WITH {PLANE}, {_AX}, tl AS (SELECT image_id, CAST(b.t AS BIGINT) AS ty, CAST(a.t AS BIGINT) AS tx, CAST(b.i AS BIGINT) AS y, CAST(a.i AS BIGINT) AS x, c, v, a.w * b.w AS w, a.p AS px, b.p AS py FROM pix JOIN ax a ON a.p = pix.x JOIN ax b ON b.p = pix.y)"
 
 
 @query("t4_split", _SPLIT + " SELECT image_id, ty, tx, y, x, c, round(v, 6) AS v FROM tl")
@@ -569,6 +594,21 @@ def x1(spark, sf):
 _SSIM = f"WITH {PLANE8}, s AS (SELECT p.image_id // 2 AS image_id, avg(p.v) AS a, avg(q.v) AS b, avg(p.v * p.v) AS aa, avg(q.v * q.v) AS bb, avg(p.v * q.v) AS ab FROM pix p JOIN pix q ON q.image_id = p.image_id + 1 AND q.y = p.y AND q.x = p.x WHERE p.image_id % 2 = 0 GROUP BY 1) SELECT image_id, round((2 * a * b + 6.5025) * (2 * (ab - a * b) + 58.5225) / ((a * a + b * b + 6.5025) * (aa - a * a + bb - b * b + 58.5225)), 6) AS ssim FROM s"
 
 
+#: Windows of 8x8 at steps of 4 over 16x16 (four planes side by side), by the cell of 2x2 that holds the window's centre.
+_TALL = f"WITH {PLANE8}, big AS (SELECT image_id // 8 AS image_id, image_id // 4 % 2 AS side, y + image_id % 4 // 2 * 8 AS y, x + image_id % 2 * 8 AS x, v FROM pix WHERE image_id // 8 * 8 + 7 <= (SELECT max(image_id) FROM pix))"
+_CELL_SSIM = f"{_TALL}, s AS (SELECT p.image_id, wy, wx, avg(p.v) AS a, avg(q.v) AS b, avg(p.v * p.v) AS aa, avg(q.v * q.v) AS bb, avg(p.v * q.v) AS ab FROM big p JOIN big q ON p.side = 0 AND q.side = 1 AND q.image_id = p.image_id AND q.y = p.y AND q.x = p.x JOIN (SELECT unnest([0, 4, 8]) AS wy) ON p.y BETWEEN wy AND wy + 7 JOIN (SELECT unnest([0, 4, 8]) AS wx) ON p.x BETWEEN wx AND wx + 7 GROUP BY ALL) SELECT image_id, CAST((wy + 4) // 8 AS BIGINT) AS cell_y, CAST((wx + 4) // 8 AS BIGINT) AS cell_x, round(avg((2 * a * b + 6.5025) * (2 * (ab - a * b) + 58.5225) / ((a * a + b * b + 6.5025) * (aa - a * a + bb - b * b + 58.5225))), 6) AS ssim FROM s GROUP BY ALL"
+
+
+@query("x2_ssim_cells", _CELL_SSIM)
+def x2c(spark, sf):
+    p = plane8(spark, sf)
+    i, last = F.col("image_id"), table(spark, sf, "embeddings").agg(F.max("vec_id").alias("last"))
+    big = p.select(F.floor(i / 8).alias("image_id"), (F.floor(i / 4) % 2).alias("side"), (F.col("y") + F.floor(i % 4 / 2) * 8).alias("y"), (F.col("x") + i % 2 * 8).alias("x"), "v")
+    big = big.join(F.broadcast(last), F.col("image_id") * 8 + 7 <= F.col("last")).drop("last")  # one row
+    a, b = (big.where(F.col("side") == k).drop("side") for k in (0, 1))
+    return rounded(X.ssim_cells(a, b, 16, 16, 2, 2), "ssim")
+
+
 @query("x2_ssim", _SSIM)
 def x2(spark, sf):
     return rounded(X.ssim(*_pairs(plane8(spark, sf).drop("c")), 8, 8), "ssim")
@@ -677,7 +717,7 @@ def x10g(spark, sf):
 
 
 # ---- the flagship: bytes, resize, normalize, statistics of each label
-_FLAG = f"WITH {RGBA8}, {_T43}, {_STATS}, r AS ({_u8(_resampled(0, 0, 'pix', 6))}) SELECT label, CAST(r.c AS BIGINT) AS c, count(*) AS n, round(avg((v / CAST(255 AS DOUBLE) - mean) / std), 6) AS mean FROM r JOIN st ON st.c = r.c JOIN embeddings ON vec_id = image_id GROUP BY label, r.c"
+_FLAG = f"WITH {RGBA8}, {_T43}, {_STATS}, r AS ({_u8(_resampled('pix', 6))}) SELECT label, CAST(r.c AS BIGINT) AS c, count(*) AS n, round(avg((v / CAST(255 AS DOUBLE) - mean) / std), 6) AS mean FROM r JOIN st ON st.c = r.c JOIN embeddings ON vec_id = image_id GROUP BY label, r.c"
 
 
 @query("flagship_preproc_stats", _FLAG)
