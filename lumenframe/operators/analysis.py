@@ -186,74 +186,105 @@ def _halved(p: np.ndarray) -> np.ndarray:
     return (q[::2, ::2] + q[1::2, ::2] + q[::2, 1::2] + q[1::2, 1::2]) / 4
 
 
-def align_pair(ref: np.ndarray, mov: np.ndarray, search: int = 8, iterations: int = 60, least: int = 24) -> dict:
+#: A pyramid level's shorter side, and the mask's pixels, are this many at least.
+LEAST_SIDE, LEAST_PIXELS = 24, 16
+ALIGNED = "scale rotation tx ty gain bias rms ncc coverage".split()
+
+
+def align_pair(
+    ref: np.ndarray, mov: np.ndarray, mask: np.ndarray | None = None, init: tuple[float, float, float, float] = (1.0, 0.0, 0.0, 0.0),
+    levels: int = 4, search: int = 4, iterations: int = 40, similarity: bool = True, photometric: bool = True, tolerance: float = 1e-3,
+) -> dict:
     """Scale, rotation, shift, gain and bias that carry ref's places to mov's: pyramid, shift search, robust Gauss-Newton.
 
-    Planes are in 0..1. At the coarsest level the whole shift with the best
-    correlation starts the iteration; each level halves the shifts of the one below.
+    Planes are in 0..1; mask says which of ref's pixels count; init is (scale,
+    rotation, tx, ty). At the coarsest of `levels` levels above the full size, the whole shift within
+    `search` pixels of that level with the best correlation starts the iteration (0: none).
+    similarity and photometric: whether scale and rotation, gain and bias are estimated.
+    converged: the full size's last step was below the tolerance. Fewer than LEAST_PIXELS pixels give init back.
     """
-    levels = [(ref, mov)]
-    while min(levels[-1][0].shape) // 2 >= least:
-        levels.append((_halved(levels[-1][0]), _halved(levels[-1][1])))
-    a = b = tx = ty = bias = 0.0
-    gain = 1.0
+    on_mask = np.ones(ref.shape, bool) if mask is None else np.asarray(mask) != 0
+    if on_mask.sum() < LEAST_PIXELS:
+        return {**dict(zip(ALIGNED, (*map(float, init), 1.0, 0.0, 0.0, 0.0, 0.0))), "iterations": 0, "converged": False}
+    planes = [(ref, mov, on_mask)]
+    while len(planes) <= levels and min(planes[-1][0].shape) // 2 >= LEAST_SIDE:
+        r, m, k = planes[-1]
+        planes.append((_halved(r), _halved(m), _halved(k.astype(float)) >= 0.5))
+    top = len(planes) - 1
+    a, b = init[0] * math.cos(init[1]) - 1, init[0] * math.sin(init[1])
+    tx, ty, gain, bias = init[2] / 2**top, init[3] / 2**top, 1.0, 0.0
     rms = ncc = cover = 0.0
-    for k in range(len(levels) - 1, -1, -1):
-        r, m = levels[k]
+    steps, converged = 0, False
+    for k in range(top, -1, -1):
+        r, m, counts = planes[k]
         h, w = r.shape
         yy, xx = np.mgrid[:h, :w] + 0.5
         dx, dy = xx - w / 2, yy - h / 2
 
         def warped(a, b, tx, ty):
-            return _bilinear(m, w / 2 + (1 + a) * dx - b * dy + tx, h / 2 + b * dx + (1 + a) * dy + ty)  # noqa: B023
+            s, on = _bilinear(m, w / 2 + (1 + a) * dx - b * dy + tx, h / 2 + b * dx + (1 + a) * dy + ty)  # noqa: B023
+            return s, on & counts  # noqa: B023
 
         def score(tx, ty):
             s, on = warped(a, b, tx, ty)  # noqa: B023
-            if on.mean() < 0.5 or s[on].std() == 0 or r[on].std() == 0:  # noqa: B023
+            if 2 * on.sum() < counts.sum() or s[on].std() == 0 or r[on].std() == 0:  # noqa: B023
                 return -2.0
             return float(np.corrcoef(s[on], r[on])[0, 1])  # noqa: B023
 
-        if k == len(levels) - 1:
-            reach = max(1, math.ceil(search / 2**k))
-            best = max(((score(tx + i, ty + j), -j, -i) for j in range(-reach, reach + 1) for i in range(-reach, reach + 1)))
+        if k == top and search:
+            best = max((score(tx + i, ty + j), -j, -i) for j in range(-search, search + 1) for i in range(-search, search + 1))
             tx, ty = tx - best[2], ty - best[1]
         gy, gx = np.gradient(m)
+        free = np.array([similarity, similarity, True, True, photometric, photometric])
+        converged = False
         for _ in range(iterations):
             s, on = warped(a, b, tx, ty)
-            if on.sum() < 16:
+            if on.sum() < LEAST_PIXELS:
                 break
             qx, qy = w / 2 + (1 + a) * dx - b * dy + tx, h / 2 + b * dx + (1 + a) * dy + ty
             sx, sy = (_bilinear(g, qx, qy)[0] for g in (gx, gy))
             e = gain * s + bias - r
-            J = np.stack([gain * (sx * dx + sy * dy), gain * (-sx * dy + sy * dx), gain * sx, gain * sy, s, np.ones_like(s)], -1)[on]
+            J = np.stack([gain * (sx * dx + sy * dy), gain * (-sx * dy + sy * dx), gain * sx, gain * sy, s, np.ones_like(s)], -1)[on][:, free]
             ee = e[on]
             cut = max(1e-4, 1.345 * 1.4826 * np.median(np.abs(ee - np.median(ee))))
             weight = np.minimum(1.0, cut / np.maximum(np.abs(ee), 1e-12))
             A = (J * weight[:, None]).T @ J
-            step = np.linalg.lstsq(A + np.diag(np.diag(A)) * 1e-6, -(J * weight[:, None]).T @ ee, rcond=None)[0]
+            step = np.zeros(6)
+            step[free] = np.linalg.lstsq(A + np.diag(np.diag(A)) * 1e-6, -(J * weight[:, None]).T @ ee, rcond=None)[0]
             a, b, tx, ty, gain, bias = (p + d for p, d in zip((a, b, tx, ty, gain, bias), step))
-            if max(abs(step[2]), abs(step[3]), abs(step[0]) * w, abs(step[1]) * w) < 1e-3:
+            steps += 1
+            if max(abs(step[2]), abs(step[3]), abs(step[0]) * w, abs(step[1]) * w) < tolerance:
+                converged = True
                 break
         s, on = warped(a, b, tx, ty)
         if on.any():
             e = gain * s[on] + bias - r[on]
-            rms, cover = float(np.sqrt((e * e).mean())), float(on.mean())
+            rms, cover = float(np.sqrt((e * e).mean())), float(on.sum() / counts.sum())
             ncc = float(np.corrcoef(s[on], r[on])[0, 1]) if s[on].std() and r[on].std() else 0.0
         if k:
             tx, ty = 2 * tx, 2 * ty
-    return {"scale": math.hypot(1 + a, b), "rotation": math.atan2(b, 1 + a), "tx": tx, "ty": ty, "gain": gain, "bias": bias, "rms": rms, "ncc": ncc, "coverage": cover}
+    return {"scale": math.hypot(1 + a, b), "rotation": math.atan2(b, 1 + a), "tx": tx, "ty": ty, "gain": gain, "bias": bias, "rms": rms, "ncc": ncc, "coverage": cover, "iterations": steps, "converged": converged}
+
 
+def align_similarity(pairs: DataFrame, **options) -> DataFrame:
+    """One solver a pair, pairs in parallel; pairs: (pair_id, width, ref array, mov array), values in 0..1.
 
-def align_similarity(pairs: DataFrame) -> DataFrame:
-    """One solver a pair, pairs in parallel; pairs: (pair_id, width, ref array, mov array), values in 0..1."""
-    out = "pair_id long, scale double, rotation double, tx double, ty double, gain double, bias double, rms double, ncc double, coverage double"
+    Optional columns mask (array, not 0 where a pixel counts) and init (array of
+    scale, rotation, tx, ty); options as of `align_pair`.
+    """
+    out = ", ".join(["pair_id long", *(f"{c} double" for c in ALIGNED), "iterations long", "converged boolean"])
+    more = [c for c in ("mask", "init") if c in pairs.columns]
 
     def run(frames):
         for f in frames:
-            got = [{"pair_id": p, **align_pair(np.asarray(r, float).reshape(-1, w), np.asarray(m, float).reshape(-1, w))} for p, w, r, m in zip(f["pair_id"], f["width"], f["ref"], f["mov"])]
+            got = []
+            for row in f.to_dict("records"):
+                w = row["width"]
+                own = {"mask": None if row.get("mask") is None else np.asarray(row["mask"]).reshape(-1, w)} | ({"init": tuple(row["init"])} if row.get("init") is not None else {})
+                got.append({"pair_id": row["pair_id"], **align_pair(np.asarray(row["ref"], float).reshape(-1, w), np.asarray(row["mov"], float).reshape(-1, w), **own, **options)})
             yield pd.DataFrame(got, columns=[c.split()[0] for c in out.split(", ")])
 
-    return pairs.select("pair_id", "width", "ref", "mov").mapInPandas(run, out)
+    return pairs.select("pair_id", "width", "ref", "mov", *more).mapInPandas(run, out)
 
 
 def motion_pair(a: np.ndarray, b: np.ndarray, margin: int, block: int, radius: int, lost: float = 1.5) -> list[tuple]:
@@ -343,3 +374,25 @@ def block_residual(a: np.ndarray, b: np.ndarray, motion: dict, margin: int, bloc
         least = np.take_along_axis(e, np.abs(e).argmin(0)[None], 0)[0]
         out[by, bx] = float(least.std())
     return out
+
+
+def residual_rows(pairs: DataFrame, margin: int = 16, block: int = 8, radius: int = 6, lost: float = 1.5) -> DataFrame:
+    """(pair_id, by, bx, residual) of each block after its motion; pairs: (pair_id, width, a array, b array) of full-size luma.
+
+    With columns half_a and half_b, planes of half size, those are compared; else they are made from a and b.
+    """
+    given = [c for c in ("half_a", "half_b") if c in pairs.columns]
+    half = lambda q: (q[:-1:2, :-1:2] + q[1::2, :-1:2] + q[:-1:2, 1::2] + q[1::2, 1::2] + 2) // 4
+
+    def run(frames):
+        for f in frames:
+            rows = []
+            for x in f.to_dict("records"):
+                w = x["width"]
+                a, b = (np.asarray(x[k]).reshape(-1, w).astype(np.int64) for k in "ab")
+                motion = {(r[0], r[1]): (r[2], r[3]) for r in motion_pair(a, b, margin, block, radius, lost)}
+                planes = [np.asarray(x[k]).reshape(-1, w // 2) for k in given] if len(given) == 2 else [half(p[: p.shape[0] // 2 * 2, : w // 2 * 2]) for p in (a, b)]
+                rows += [(x["pair_id"], *k, d) for k, d in block_residual(*planes, motion, margin, block).items()]
+            yield pd.DataFrame(rows, columns=["pair_id", "by", "bx", "residual"])
+
+    return pairs.select("pair_id", "width", "a", "b", *given).mapInPandas(run, "pair_id long, by long, bx long, residual double")

@@ -646,43 +646,52 @@ def x6(spark, sf):
     return X.coarse_motion(*_pairs(plane8(spark, sf).drop("c")), 8, 8, 1, 1, 4, 8, 2)
 
 
-def _texture(spark, shift):
-    """Two frames of 320x240 from one formula, the second moved by shift."""
-    import math
+def _texture(x, y):
+    return F.sin(x * 0.11 + y * 0.04) * 42 + F.sin(y * 0.14 - x * 0.05) * 38 + F.sin(x * 0.33 + y * 0.27) * 22 + F.sin(y * 0.45 - x * 0.38) * 14 + 128
 
-    f = lambda x, y: 128 + 42 * math.sin(0.11 * x + 0.04 * y) + 38 * math.sin(0.14 * y - 0.05 * x) + 22 * math.sin(0.33 * x + 0.27 * y) + 14 * math.sin(0.45 * y - 0.38 * x)
-    frame = lambda dx, dy: [int(min(255, max(0, f(x - dx, y - dy) + 0.5))) for y in range(240) for x in range(320)]
-    return spark.createDataFrame([(0, 320, frame(0, 0), frame(*shift))], "pair_id long, width int, a array<int>, b array<int>")
 
+def _frame_pairs(rows, n, dx, dy):
+    """rows (pair_id) with two frames of n x n from one formula, other for each pair, the second moved by dx, dy."""
 
-@query("x6_block_motion")
-def x6b(spark, sf):
-    return X.block_motion(_texture(spark, (3.4, -1.7)), radius=4)
+    def frame(mx, my):
+        at = lambda p: _texture(p % n - mx + F.col("pair_id") * 5, F.floor(p / n) - my + F.col("pair_id") * 3)
+        return F.transform(F.sequence(F.lit(0), F.lit(n * n - 1)), lambda p: L.as_u8(at(p)).cast("int"))
 
+    return rows.select("pair_id", F.lit(n).alias("width"), frame(F.lit(0), F.lit(0)).alias("a"), frame(dx, dy).alias("b"))
 
-@query("x7_block_residual")
-def x7(spark, sf):
-    import numpy as np
-    import pandas as pd
 
-    def run(frames):
-        for f in frames:
-            rows = []
-            for p, w, a, b in zip(f["pair_id"], f["width"], f["a"], f["b"]):
-                a, b = np.asarray(a).reshape(-1, w), np.asarray(b).reshape(-1, w)
-                half = lambda q: (q[::2, ::2] + q[1::2, ::2] + q[::2, 1::2] + q[1::2, 1::2] + 2) // 4
-                motion = {(r[0], r[1]): (r[2], r[3]) for r in X.motion_pair(a, b, 16, 8, 4)}
-                rows += [(p, *k, d) for k, d in X.block_residual(half(a), half(b), motion, 16, 8).items()]
-            yield pd.DataFrame(rows, columns=["pair_id", "by", "bx", "residual"])
+def _nations(spark, sf):
+    """A pair a nation, moved by up to three pixels each way."""
+    k = F.col("pair_id")
+    return _frame_pairs(table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("pair_id")), 128, k % 7 - 3, k % 5 - 2)
 
-    return _texture(spark, (3.4, -1.7)).mapInPandas(run, "pair_id long, by long, bx long, residual double")
+
+@query("x6_block_motion", "SELECT CAST(n_nationkey AS BIGINT) AS pair_id, CAST(i // 4 AS BIGINT) AS \"by\", CAST(i % 4 AS BIGINT) AS bx, CAST(n_nationkey % 7 - 3 AS BIGINT) AS dx, CAST(n_nationkey % 5 - 2 AS BIGINT) AS dy, CAST(0 AS BIGINT) AS status FROM nation, (SELECT unnest(range(16)) AS i)")
+def x6b(spark, sf):
+    """Each block moves as its pair does, to the nearest pixel."""
+    m = X.block_motion(_nations(spark, sf), radius=4)
+    return m.select("pair_id", "by", "bx", F.round("dx").cast("long").alias("dx"), F.round("dy").cast("long").alias("dy"), "status")
+
+
+@query("x7_block_residual", "SELECT CAST(n_nationkey AS BIGINT) AS pair_id, CAST(i // 4 AS BIGINT) AS \"by\", CAST(i % 4 AS BIGINT) AS bx, n_nationkey % 2 = 1 AS new FROM nation, (SELECT unnest(range(16)) AS i)")
+def x7(spark, sf):
+    """Planes of half size of which, for odd pairs, the second is a pattern that no motion explains."""
+    pairs = _nations(spark, sf)
+    half = lambda c: F.transform(F.sequence(F.lit(0), F.lit(64 * 64 - 1)), lambda p: F.floor(sum(F.element_at(c, (F.floor(p / 64) * 256 + p % 64 * 2 + k + 1).cast("int")) for k in (0, 1, 128, 129)) / 4 + 0.5).cast("int"))
+    odd = F.transform(F.col("half_b"), lambda v, p: F.when((F.floor(p / 128) + p % 64 / 2).cast("int") % 2 == 0, 20).otherwise(230))
+    pairs = pairs.withColumns({"half_a": half("a"), "half_b": half("b")}).withColumn("half_b", F.when(F.col("pair_id") % 2 == 1, odd).otherwise(F.col("half_b")))
+    return X.residual_rows(pairs, radius=4).select("pair_id", "by", "bx", (F.col("residual") > 5).alias("new"))
 
 
-@query("x8_align")
+@query("x8_align", "SELECT vec_id AS pair_id, CAST(vec_id % 5 - 2 AS BIGINT) AS tx, CAST(vec_id % 3 - 1 AS BIGINT) AS ty, CAST(100 AS BIGINT) AS scale, CAST(0 AS BIGINT) AS rotation, true AS converged FROM embeddings")
 def x8(spark, sf):
-    t = _texture(spark, (2.5, -1.5))
-    scaled = lambda c: F.transform(c, lambda v: v / 255.0)
-    return X.align_similarity(t.select("pair_id", "width", scaled("a").alias("ref"), scaled("b").alias("mov")))
+    """A pair an embedding, moved by up to two pixels each way."""
+    k = F.col("pair_id")
+    t = _frame_pairs(table(spark, sf, "embeddings").select(F.col("vec_id").alias("pair_id")), 48, k % 5 - 2, k % 3 - 1)
+    unit = lambda c: F.transform(c, lambda v: v / 255.0)
+    got = X.align_similarity(t.select("pair_id", "width", unit("a").alias("ref"), unit("b").alias("mov")), search=2)
+    whole = lambda c, k: F.round(F.col(c) * k).cast("long").alias(c)
+    return got.select("pair_id", whole("tx", 1), whole("ty", 1), whole("scale", 100), whole("rotation", 100), "converged")
 
 
 _NCC = f"WITH {PLANE} SELECT p.image_id // 2 AS image_id, round(sqrt(avg((q.v - p.v) * (q.v - p.v))), 6) AS rms, round(corr(p.v, q.v), 6) AS ncc, CAST(1 AS DOUBLE) AS coverage FROM pix p JOIN pix q ON q.image_id = p.image_id + 1 AND q.y = p.y AND q.x = p.x WHERE p.image_id % 2 = 0 GROUP BY 1"

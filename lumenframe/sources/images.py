@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import boxes, exif, gif, jpeg, ktx2, png, raster, tiff
@@ -275,7 +275,6 @@ def _each(df: DataFrame, id_col: str, content: str, many: Callable[[bytes], Iter
             if rows:
                 yield flush()
 
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_FILES))
     schema = ", ".join([f"id {id_type}", *(f"{n} {s}" for n, s, _ in fields), "error string"])
     return df.select(F.col(id_col).alias("id"), F.col(content).alias("content")).mapInArrow(run, schema)
 
@@ -382,6 +381,24 @@ def scaled_rows(df: DataFrame, box_w: int, box_h: int, cover: bool = False, embe
     return _each(df, id_col, content, _single(one), [*_PIXELS, ("way", "string", pa.string())])
 
 
+def gif_rows(df: DataFrame, id_col: str = "path", content: str = "content") -> DataFrame:
+    """(id, frames, plays, error) without decoding; a malformed file has 0 frames, and plays is 0 for ever."""
+    fields = [("frames", "int", pa.int32()), ("plays", "int", pa.int32())]
+    return _each(df, id_col, content, _single(lambda r: ((n := gif.frame_count(r)), gif.plays(r) if n else 1)), fields)
+
+
+def exif_block_rows(df: DataFrame, id_col: str = "path", content: str = "content") -> DataFrame:
+    """(id, block, thumbnail, error): the TIFF block of the metadata and the bytes of the thumbnail in it, null if there is none."""
+    return _each(df, id_col, content, _single(lambda r: (exif.find(r), exif.thumbnail(r))), [("block", "binary", pa.binary()), ("thumbnail", "binary", pa.binary())])
+
+
+def smallest_thumbnail(sizes: DataFrame, least: int) -> DataFrame:
+    """Of each id's (id, item, width, height) the smallest whose short side is `least` or more, else the largest; ties go to the smaller item."""
+    area, enough = F.col("width") * F.col("height"), F.least("width", "height") >= least
+    w = Window.partitionBy("id").orderBy(F.when(enough, 0).otherwise(1), F.when(enough, area).otherwise(-area), "item")
+    return sizes.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
+
+
 def thumbnail_rows(df: DataFrame, id_col: str = "path", content: str = "content") -> DataFrame:
     """(id, width, height, data, error) of embedded thumbnails."""
     return _each(df, id_col, content, _single(lambda r: _pixels(thumbnail(r))), _PIXELS)

@@ -214,6 +214,10 @@ def text_rows(df: DataFrame, id_col: str = "path", content: str = "content") ->
     return _rows(df, id_col, content, lambda raw: ([{"keyword": k, "text": v} for k, v in (header(raw) and texts(raw))],), [("texts", "array<struct<keyword: string, text: string>>", pa.list_(pair))])
 
 
-def encode_rows(df: DataFrame, id_col: str, data: str, width: int, channels: int) -> DataFrame:
-    """(id, png, error) of binary samples, row by row."""
-    return _rows(df, id_col, data, lambda raw: (encode(np.frombuffer(raw, np.uint8).reshape(-1, width, channels)),), [("png", "binary", pa.binary())])
+def encode_rows(df: DataFrame, id_col: str, data: str, width: int, channels: int, texts_col: str | None = None) -> DataFrame:
+    """(id, png, error) of binary samples, row by row; texts_col: an array of structs (keyword, text) to write after the header."""
+    one = lambda raw, text=(): (encode(np.frombuffer(raw, np.uint8).reshape(-1, width, channels), text),)
+    if texts_col is None:
+        return _rows(df, id_col, data, one, [("png", "binary", pa.binary())])
+    both = df.withColumn("_both", F.struct(F.col(data).alias("raw"), F.col(texts_col).alias("texts")))
+    return _rows(both, id_col, "_both", lambda x: one(x["raw"] or b"", [(t["keyword"], t["text"]) for t in x["texts"] or ()]), [("png", "binary", pa.binary())])

@@ -87,13 +87,41 @@ def test_tiles_rebuild(spark, n, tile, step):
     assert len(out) == n * n and all(abs(r.v - (r.x * 2 + r.y * 3)) < 1e-6 for r in out)
 
 
-def test_motion_and_alignment_recover_a_shift(spark):
-    from lumenframe.plans import queries as own
-
-    m = own.QUERIES["x6_block_motion"](spark, "").where("status = 0").collect()
-    assert m and sum(abs(r.dx - 3.4) < 0.15 and abs(r.dy + 1.7) < 0.15 for r in m) >= 0.9 * len(m)
-    a = own.QUERIES["x8_align"](spark, "").first()
-    assert abs(a.tx - 2.5) < 0.1 and abs(a.ty + 1.5) < 0.1 and abs(a.scale - 1) < 0.01
+def texture(w, h, dx=0.0, dy=0.0):
+    y, x = np.mgrid[:h, :w].astype(float)
+    x, y = x - dx, y - dy
+    return 128 + 42 * np.sin(0.11 * x + 0.04 * y) + 38 * np.sin(0.14 * y - 0.05 * x) + 22 * np.sin(0.33 * x + 0.27 * y) + 14 * np.sin(0.45 * y - 0.38 * x)
+
+
+def test_motion_and_alignment_recover_a_shift():
+    a, b = (np.clip(np.floor(texture(320, 240, *s) + 0.5), 0, 255).astype(int) for s in ((0, 0), (3.4, -1.7)))
+    m = [r for r in X.motion_pair(a, b, 16, 8, 4) if r[7] == 0]
+    assert m and sum(abs(r[2] - 3.4) < 0.15 and abs(r[3] + 1.7) < 0.15 for r in m) >= 0.9 * len(m)
+    got = X.align_pair(texture(320, 240) / 255, texture(320, 240, 2.5, -1.5) / 255)
+    assert abs(got["tx"] - 2.5) < 0.1 and abs(got["ty"] + 1.5) < 0.1 and abs(got["scale"] - 1) < 0.01 and got["converged"] and got["iterations"] > 0
+
+
+def test_alignment_options():
+    ref, mov = texture(96, 96) / 255, texture(96, 96, 2, -1) / 255
+    mask = np.zeros((96, 96))
+    mask[20:70, 30:80] = 1
+    spoiled = mov.copy()
+    spoiled[:10] = 0
+    got = X.align_pair(ref, spoiled, mask)
+    assert abs(got["tx"] - 2) < 0.05 and abs(got["ty"] + 1) < 0.05 and got["coverage"] == 1
+    few = X.align_pair(ref, mov, np.eye(96)[:, :96] * (np.arange(96) < 15), init=(1.1, 0.2, 3.0, 4.0))
+    assert (few["scale"], few["tx"], few["ty"], few["converged"], few["iterations"]) == (1.1, 3.0, 4.0, False, 0)
+    near = X.align_pair(ref, mov, init=(1.0, 0.0, 1.5, -0.5), search=0, levels=0, similarity=False, photometric=False)
+    assert abs(near["tx"] - 2) < 0.05 and (near["scale"], near["rotation"], near["gain"], near["bias"]) == (1, 0, 1, 0)
+    darker = X.align_pair(ref, mov * 0.5 + 0.1)
+    assert abs(darker["gain"] - 2) < 0.02 and abs(darker["bias"] + 0.2) < 0.02
+
+
+def test_ssim_of_cells_without_a_window(spark):
+    rows = [(0, y, x, (7 * y + 3 * x * x) % 50) for y in range(9) for x in range(9)]
+    a = spark.createDataFrame(rows, "image_id long, y long, x long, v long")
+    got = {(r.cell_y, r.cell_x): r.ssim for r in X.ssim_cells(a, a, 9, 9, 3, 3).collect()}
+    assert len(got) == 9 and all(abs(v - 1) < 1e-12 for v in got.values())
 
 
 def test_flat_images_have_no_sharpness(spark):

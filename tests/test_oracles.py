@@ -5,7 +5,7 @@ import pytest
 
 from lumenframe.plans import files, queries
 
-TABLES = "part embeddings pages".split()
+TABLES = "part embeddings pages nation".split()
 QUERIES, ORACLES = queries.QUERIES | files.QUERIES, queries.ORACLES | files.ORACLES
 
 
