@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -14,8 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: What an operator works on at a time in a Python worker: so many rows and bytes, or one longer row.
-#: What Spark sends there at once is bounded by spark.sql.execution.arrow.maxBytesPerBatch (64 MB).
-SLICE_ROWS, SLICE_BYTES = 512, 8 << 20
+SLICE_ROWS, SLICE_BYTES = 256, 2 << 20
 
 
 def quoted(name: str) -> str:
@@ -31,6 +31,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Spark sends SLICE_BYTES at once to Python, not 64 MB: buffers of both sides hold several times that.
+
+    The session's bound is only ever lowered, to the same value for all operators.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = re.fullmatch(r"(\d+)b?", spark.conf.get(name))
+    if not now or int(now[1]) > SLICE_BYTES:
+        spark.conf.set(name, str(SLICE_BYTES))
+
+
 def sliced(batches, *columns: int, rows: int = SLICE_ROWS, size: int = SLICE_BYTES):
     """The batches in slices of at most `rows` rows and, but for single longer rows, `size` bytes of the text or binary columns named."""
     for b in batches:

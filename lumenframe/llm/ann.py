@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import cut, named, sliced, table
+from ._common import bound_batches, cut, named, sliced, table
 
 SAMPLE_FLOATS = 1 << 22
 
@@ -198,6 +198,7 @@ def top(rows: np.ndarray, ids: np.ndarray, x: np.ndarray, q_rows: np.ndarray, q_
 def search(df: DataFrame, queries, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 5, sample: int | None = None, parts: int | None = None, wanted: float = 0.97, chunk: int = 20_000, block: int = 2_000, sample_floats: int = SAMPLE_FLOATS) -> DataFrame:
     """(query_id, rank, vec_id, score); queries: a Column over `id` that says which rows are queries."""
     spark = df.sparkSession
+    bound_batches(spark)
     vectors, n = usable(df, id_col, vec_col)
     schema = "query_id long, rank int, vec_id long, score double"
     if not n:

@@ -44,7 +44,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import Bitmap, cut, known, likely, named, sliced, table
+from ._common import Bitmap, bound_batches, cut, known, likely, named, sliced, table
 from ._words import spans_hashed
 
 BITS = 5
@@ -367,6 +367,7 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
     other_id is the first document that holds the passage's chunks or a window of its
     words; the passage is reported there as well, with the smallest of the others.
     """
+    bound_batches(df.sparkSession)
     docs, back = _plain(df, id_col, text_col)
     kind = docs.schema["id"].dataType.simpleString()
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import map_rows, named, sliced, table
+from ._common import bound_batches, map_rows, named, sliced, table
 from ._words import Hasher, finish
 
 #: 1: the word counts, 0: it is ignored. Six of up to nine words, chosen by enumeration: every ten words of which
@@ -187,6 +187,7 @@ def blocks(benchmark: DataFrame, id_col: str, text_col: str, min_words: int) ->
 
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", min_words: int = 10) -> DataFrame:
     """(id, item, first_word, end_word, n_match) for each document and item that overlap; the best overlap of the two."""
+    bound_batches(docs.sparkSession)
     spark = docs.sparkSession
     kind = docs.select(named(id_col)).schema[0].dataType.simpleString()
     other = benchmark.select(named(item_col)).schema[0].dataType
@@ -216,6 +217,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", min_words: int = 10) -> DataFrame:
     """The rows of docs, unchanged, that overlap with no item of the benchmark."""
+    bound_batches(docs.sparkSession)
     place = docs.columns.index(text_col)
     for index in blocks(benchmark, item_col, item_text, min_words):
         shared = docs.sparkSession.sparkContext.broadcast(index.arrays)

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import named, sliced, table
+from ._common import bound_batches, named, sliced, table
 
 _SKIP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe|object|canvas|annotation|annotation-xml)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>", re.S | re.I)
 _TAG = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']|"[^"]*"|'[^']*')*)/?>?""")
@@ -211,6 +211,7 @@ def main_text(page: str | None) -> str:
 
 def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id, url, text) of every row."""
+    bound_batches(df.sparkSession)
     kind = df.select(named(id_col)).schema[0].dataType.simpleString()
 
     def run(batches):

@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import map_rows, named, sliced, table
+from ._common import bound_batches, map_rows, named, sliced, table
 
 UND = "und"
 _LETTER = regex.compile(r"\p{L}")
@@ -176,6 +176,7 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
     all (but one of each label at least), so it does not grow with the input, and
     with the number of labels only beyond all_labels of them. Labels come sorted.
     """
+    bound_batches(df.sparkSession)
     known = df.select(named(label_col).cast("string").alias("y"), named(id_col).alias("i"), named(text_col).alias("x")).where("y is not null and x is not null")
     counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     labels = sorted(counts)
@@ -221,6 +222,7 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
 
 def predict(df: DataFrame, model: ByteCNN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score) of every whole text; the id and the text are all that is read."""
+    bound_batches(df.sparkSession)
     kind = df.select(named(id_col)).schema[0].dataType.simpleString()
 
     def run(batches):
@@ -233,6 +235,7 @@ def predict(df: DataFrame, model: ByteCNN, id_col: str = "doc_id", text_col: str
 
 def keep_identified(df: DataFrame, model: ByteCNN, least: float = 0.4, text_col: str = "text") -> DataFrame:
     """The rows of df, unchanged, whose language the model names with a score of `least` or more."""
+    bound_batches(df.sparkSession)
     place = df.columns.index(text_col)
 
     def run(batches):

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import named, sliced, table
+from ._common import bound_batches, named, sliced, table
 from ._files import Staged
 
 #: The split pattern that goes with the vocabulary files of byte-level BPE (a fixed value of theirs).
@@ -107,6 +107,7 @@ def best_fit(sizes: list[int], length: int) -> list[list[int]]:
 def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = ROW, path: str = VOCABULARY, pad_id: int = 0) -> DataFrame:
     """(pack_id, n_tokens, input_ids, cu_seqlens, position_resets, doc_ids, parts): one row a packed row of `length` ids."""
     spark = df.sparkSession
+    bound_batches(spark)
     raw = vocabulary(path)
     kind = df.select(named(id_col)).schema[0].dataType.simpleString()
     docs = df.select(named(id_col).alias("id"), named(text_col).alias("text"))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import map_rows, named, sliced, table
+from ._common import bound_batches, map_rows, named, sliced, table
 
 BASE = ("assign", "access", "hex")
 KINDS = (*BASE, "github", "npm", "card")
@@ -139,6 +139,7 @@ def scan(text: str | None, words: ahocorasick.Automaton) -> list[tuple[str, int,
 
 def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, spans array<struct<kind, start, end>>) of every row."""
+    bound_batches(df.sparkSession)
     kind = df.select(named(id_col)).schema[0].dataType.simpleString()
     struct = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
@@ -153,6 +154,7 @@ def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def mask_secrets(df: DataFrame, text_col: str = "text", with_: str = "<secret>") -> DataFrame:
     """The rows of df with every span replaced in the text; null texts stay null."""
+    bound_batches(df.sparkSession)
     place = df.columns.index(text_col)
 
     def run(batches):

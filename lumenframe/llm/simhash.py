@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import components, cut, likely, named, sliced, table
+from ._common import bound_batches, components, cut, likely, named, sliced, table
 from ._words import finish
 
 #: Buckets of up to this many fingerprints are compared by shifted copies of the sorted table.
@@ -123,6 +123,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 node = [int.from_bytes(x, "big", signed=True) if words == 1 else xxhash.xxh64_intdigest(x) - (1 << 63) for x in fp]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.binary()), pa.array(node, pa.int64())], ["id", "fp", "node"])
 
+    bound_batches(df.sparkSession)
     kind = df.select(named(id_col)).schema[0].dataType.simpleString()
     return df.select(named(id_col).alias("id"), named(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp binary, node long")
 
@@ -303,8 +304,8 @@ def _whole_buckets(batches, arrays, work):
         yield from work(*(np.concatenate(c) for c in zip(*held)))
 
 
-def _pairs_batch(e: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([p[0] for p in e], pa.int64()), pa.array([p[1] for p in e], pa.int64())], ["u", "v"])
+def _pairs_batch(u, v) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
 
 #: So many buckets at most are hot, so their list is small whatever the input.
@@ -337,7 +338,7 @@ def near_links(nodes: DataFrame, threshold: int, segments: int, words: int = 1)
 
         def work(key, ids, x):
             if e := _links(key, ids, x, threshold, ring, exact):
-                yield _pairs_batch(e)
+                yield _pairs_batch(*zip(*e))
 
         yield from _whole_buckets(batches, arrays, work)
 
@@ -466,26 +467,29 @@ def _rest(members: DataFrame, threshold: int, segments: int, words: int) -> Data
             for i, (lo, hi) in enumerate(cuts):
                 with np.errstate(over="ignore"):
                     key = finish(finish(root) + _key(x, i, lo, hi).astype(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), *b.columns[1:]], ["key", "node", "fp", "open"])
+                yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), *b.columns[1:], pa.array(np.full(len(key), i, np.int32))], ["key", "node", "fp", "open", "segment"])
 
     def meet(batches):
-        arrays = lambda b: [b.column(0).to_numpy(), b.column(1).to_numpy(), _words(b.column(2), words), b.column(3).to_numpy(zero_copy_only=False)]
+        arrays = lambda b: [b.column(0).to_numpy(), b.column(1).to_numpy(), _words(b.column(2), words), b.column(3).to_numpy(zero_copy_only=False), b.column(4).to_numpy()]
 
-        def work(key, ids, x, is_open):
+        def work(key, ids, x, is_open, segment):
             first = np.searchsorted(key, key)
             end = np.searchsorted(key, key, "right")
-            out = []
             for i in np.flatnonzero(is_open & (end - first > 1)).tolist():
-                d = np.bitwise_count(x[first[i] : end[i]] ^ x[i]).sum(axis=1, dtype=np.int64)
-                out += [(int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))) for j in (np.flatnonzero(d <= threshold) + first[i]).tolist() if ids[j] != ids[i]]
-            if out:
-                yield _pairs_batch(sorted(set(out)))
+                near = np.flatnonzero(np.bitwise_count(x[first[i] : end[i]] ^ x[i]).sum(axis=1, dtype=np.int64) <= threshold) + first[i]
+                # Two open nodes meet once, and a pair only in the first of the segments that it has in common.
+                near = near[(ids[near] > ids[i]) | ~is_open[near]]
+                near = near[ids[near] != ids[i]]
+                for lo, hi in cuts[: int(segment[i])]:
+                    near = near[_segment(x[near] ^ x[i], lo, hi) != 0]
+                if len(near):
+                    yield _pairs_batch(np.minimum(ids[near], ids[i]), np.maximum(ids[near], ids[i]))
 
         yield from _whole_buckets(batches, arrays, work)
 
     n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = members.select("root", "node", "fp", "open").mapInArrow(deal, "key long, node long, fp binary, open boolean")
-    return dealt.repartition(n, "key").sortWithinPartitions("key").mapInArrow(meet, "u long, v long").distinct()
+    dealt = members.select("root", "node", "fp", "open").mapInArrow(deal, "key long, node long, fp binary, open boolean, segment int")
+    return dealt.repartition(n, "key").sortWithinPartitions("key").mapInArrow(meet, "u long, v long")
 
 
 def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, threshold: int = 98, segments: int = 40, words: int = 8) -> DataFrame:

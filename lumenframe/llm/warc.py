@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import SLICE_BYTES, SLICE_ROWS, cut, named, new_folder, ranked, sliced, table
+from ._common import SLICE_BYTES, SLICE_ROWS, bound_batches, cut, named, new_folder, ranked, sliced, table
 from ._files import Staged, at
 
 #: The date of every record: archives do not depend on when they are written.
@@ -84,6 +84,7 @@ def shard_starts(ids: DataFrame, size: int) -> np.ndarray:
 def write(df: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", roll_bytes: int = ROLL_BYTES, revisit_from: int = 0, shard_bytes: int | None = None, level: int = 6) -> str:
     """Write df's records under folder; returns the manifest's path."""
     spark = df.sparkSession
+    bound_batches(spark)
     payload = F.coalesce(named(payload_col).cast("binary"), F.lit("").cast("binary"))
     rows = df.select(named(id_col).cast("long").alias("id"), named(url_col).alias("url"), payload.alias("payload"))
     rows = rows.withColumn("sha", F.unhex(F.sha1("payload")))

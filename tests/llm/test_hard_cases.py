@@ -36,6 +36,10 @@ def test_session_settings_stay(spark, sf):
     secrets.op3_secrets(spark, sf)
     extract.op8_extract(spark, sf)
     assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "1000000")
+    secrets.op3_secrets(spark, sf)
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "1000000"
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
 
 
 def test_very_long_texts(spark):
