@@ -165,10 +165,10 @@ def s3(spark, sf):
     return images.probe_rows(made(spark, sf, F.when(vid() % 2 == 0, pnm).otherwise(gif))).select(F.col("id").alias("image_id"), "width", "height", "channels", "format")
 
 
-@query("s7_decode_bounded", "SELECT vec_id AS image_id, CASE WHEN vec_id % 8 > 4 THEN 'image is over the size limit' WHEN vec_id % 8 = 4 THEN 'image is over the byte limit' END AS error, CASE WHEN vec_id % 8 < 4 THEN CAST(vec_id % 8 + 1 AS INTEGER) END AS width FROM embeddings")
+@query("s7_decode_bounded", "SELECT vec_id AS image_id, CASE WHEN vec_id % 8 > 4 THEN 'image is over the size limit' WHEN vec_id % 8 = 4 THEN 'image is over the byte limit' END AS error, CAST(CASE WHEN vec_id % 8 < 4 THEN vec_id % 8 + 1 ELSE 0 END AS INTEGER) AS width FROM embeddings")
 def s7(spark, sf):
     pnm = made(spark, sf, b"P6\n", (vid() % 8 + 1).cast("string").cast("binary"), b" 1\n255\n", F.unhex(F.repeat(F.lit("0A141E"), (vid() % 8 + 1).cast("int"))))
-    return images.bounded_rows(pnm, 5, 16, 16).select(F.col("id").alias("image_id"), "error", "width")
+    return images.bounded_rows(pnm, 5, 16, 16).select(F.col("id").alias("image_id"), "error", F.coalesce("width", F.lit(0)).alias("width"))
 
 
 _GIF = b"GIF89a" + struct.pack("<HHBBB", 1, 1, 0x81, 0, 0) + bytes([0, 0, 0, 10, 20, 30, 40, 50, 60, 0, 0, 0])
