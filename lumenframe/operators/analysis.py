@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .layout import small_table
+from .layout import small_table, sorted_join
 
 C1, C2 = 6.5025, 58.5225  # (0.01 * 255)^2 and (0.03 * 255)^2
 
@@ -21,7 +21,7 @@ def _cells(n: int, k: int) -> list[tuple[int, int]]:
 
 def compare(a: DataFrame, b: DataFrame, width: int, height: int, channels: int, rows: int = 1, cols: int = 1, threshold: int = 8) -> DataFrame:
     """One row a grid cell and one for all (cell_y, cell_x null): rms, psnr, max_abs, changed, mean0..; a, b: (image_id, y, x, c, v)."""
-    d = a.join(b.withColumnRenamed("v", "w"), ["image_id", "y", "x", "c"]).withColumn("d", F.col("w") - F.col("v"))
+    d = a.join(sorted_join(b.withColumnRenamed("v", "w")), ["image_id", "y", "x", "c"]).withColumn("d", F.col("w") - F.col("v"))
     per = d.groupBy("image_id", "y", "x").agg(*[F.sum(F.when(F.col("c") == k, F.col("d")).otherwise(0)).alias(f"s{k}") for k in range(channels)], F.sum(F.col("d") * F.col("d")).alias("sq"), F.max(F.abs("d")).alias("worst"))
     per = per.join(small_table(per, _cells(width, cols), "x long, cell_x long"), "x").join(small_table(per, _cells(height, rows), "y long, cell_y long"), "y")
     per = per.groupingSets([["image_id", "cell_y", "cell_x"], ["image_id"]], "image_id", "cell_y", "cell_x")
@@ -42,7 +42,7 @@ def _ssim_windows(a: DataFrame, b: DataFrame, width: int, height: int) -> DataFr
     """(image_id, wy, wx, ssim) of 8x8 windows at steps of 4."""
     ww, wh = min(8, width), min(8, height)
     over = lambda n, w, k: small_table(a, [(i, s) for s in range(0, n - w + 1, 4) for i in range(s, s + w)], f"{k} long, w{k} long")
-    hit = a.join(b.withColumnRenamed("v", "w"), ["image_id", "y", "x"]).join(over(width, ww, "x"), "x").join(over(height, wh, "y"), "y")
+    hit = a.join(sorted_join(b.withColumnRenamed("v", "w")), ["image_id", "y", "x"]).join(over(width, ww, "x"), "x").join(over(height, wh, "y"), "y")
     n = float(ww * wh)
     s = hit.groupBy("image_id", "wy", "wx").agg(F.sum("v").alias("a"), F.sum("w").alias("b"), F.sum(F.col("v") * F.col("v")).alias("aa"), F.sum(F.col("w") * F.col("w")).alias("bb"), F.sum(F.col("v") * F.col("w")).alias("ab"))
     ma, mb = F.col("a") / n, F.col("b") / n
@@ -71,7 +71,7 @@ def ssim_cells(a: DataFrame, b: DataFrame, width: int, height: int, rows: int, c
     empty = [(cy, cx) for cy in sorted(set(cell(height, rows).values())) for cx in sorted(set(cell(width, cols).values())) if (cy, cx) not in full]
     if not empty:
         return found
-    pix = a.join(b.withColumnRenamed("v", "w"), ["image_id", "y", "x"])
+    pix = a.join(sorted_join(b.withColumnRenamed("v", "w")), ["image_id", "y", "x"])
     pix = pix.join(small_table(pix, _cells(height, rows), "y long, cell_y long"), "y").join(small_table(pix, _cells(width, cols), "x long, cell_x long"), "x").join(small_table(pix, empty, "cell_y long, cell_x long"), ["cell_y", "cell_x"])
     v, o = F.col("v"), F.col("w")
     m = pix.groupBy("image_id", "cell_y", "cell_x").agg(F.avg("v").alias("ma"), F.avg("w").alias("mb"), F.avg(v * v).alias("aa"), F.avg(o * o).alias("bb"), F.avg(v * o).alias("ab"))
@@ -160,7 +160,7 @@ def coarse_motion(a: DataFrame, b: DataFrame, width: int, height: int, nx: int,
     s = small_table(a, shifts, "sv long, su long")
     left = a.join(p, ["y", "x"]).crossJoin(s)  # the shifts are a fixed query set of (2 radius + 1)^2 rows
     right = b.select("image_id", F.col("y").alias("yy"), F.col("x").alias("xx"), F.col("v").alias("w"))
-    hit = left.withColumns({"yy": F.col("y") + F.col("sv"), "xx": F.col("x") + F.col("su")}).join(right, ["image_id", "yy", "xx"])
+    hit = left.withColumns({"yy": F.col("y") + F.col("sv"), "xx": F.col("x") + F.col("su")}).join(sorted_join(right), ["image_id", "yy", "xx"])
     cost = hit.groupBy("image_id", "by", "bx", "sv", "su").agg((F.sum((F.col("v") - F.col("w")) * (F.col("v") - F.col("w"))) + 2 * (F.abs(F.first("su")) + F.abs(F.first("sv")))).alias("cost"), F.count("*").alias("n")).where("n = 16")
     best = F.min(F.struct("cost", "sv", "su"))
     out = cost.groupBy("image_id", "by", "bx").agg(best.alias("m"))

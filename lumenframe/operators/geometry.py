@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.kernels import premultiply, unpremultiply
-from .layout import as_u8, small_table
+from . import layout
+from .layout import as_u8, small_table, sorted_join
 
 FILTERS = ("nearest", "bilinear", "bicubic", "lanczos3", "area")
 
@@ -115,11 +116,11 @@ def grid(pixels: DataFrame, width: int, height: int, channels: int) -> DataFrame
     return g.select("image_id", F.floor(F.col("_p") / (width * channels)).alias("y"), F.floor(F.col("_p") / channels % width).alias("x"), (F.col("_p") % channels).cast("long").alias("c"))
 
 
-def pad(pixels: DataFrame, to: tuple[int, int], channels: int, off: tuple[int, int], fill: list[int]) -> DataFrame:
-    """Pixels moved by off onto a filled canvas; what is outside is cut."""
+def pad(pixels: DataFrame, to: tuple[int, int], channels: int, off: tuple[int, int], fill: list[int], images: DataFrame | None = None) -> DataFrame:
+    """Pixels moved by off onto a filled canvas, one for each image (of `images`, where given); what is outside is cut."""
     moved = pixels.select("image_id", (F.col("y") + off[1]).alias("y"), (F.col("x") + off[0]).alias("x"), "c", "v")
     colour = F.element_at(F.array(*[F.lit(f) for f in [*fill, *[0] * channels][:channels]]), (F.col("c") + 1).cast("int"))
-    return grid(pixels, *to, channels).join(moved, ["image_id", "y", "x", "c"], "left").select("image_id", "y", "x", "c", F.coalesce("v", colour).alias("v"))
+    return grid(pixels if images is None else images, *to, channels).join(sorted_join(moved), ["image_id", "y", "x", "c"], "left").select("image_id", "y", "x", "c", F.coalesce("v", colour).alias("v"))
 
 
 def crop(pixels: DataFrame, size: tuple[int, int], at: tuple[int, int], to: tuple[int, int]) -> DataFrame:
@@ -176,31 +177,35 @@ def orient(pixels: DataFrame, size: tuple[int, int], orientation) -> DataFrame:
 def warp_affine_u8(pixels: DataFrame, size: tuple[int, int], to: tuple[int, int], m: list[float], channels: int, kind: str = "bilinear", fill: list[int] | None = None) -> DataFrame:
     """Every destination's centre is mapped by m (2x3) into the source; outside of it the fill shows.
 
-    The destinations of each image are made by Spark, each with its taps, and joined
-    with the pixels on image and place, so neither the driver nor one key holds a whole picture.
+    The destinations, each with its taps, are made by Spark and are the same for all
+    images: up to BROADCAST_ROWS taps they are broadcast once. Beyond that they are made
+    for each image and joined with the pixels on image and place, so neither the driver
+    nor one key holds a whole picture.
     """
-    cells = F.explode(F.sequence(F.lit(0), F.lit(to[0] * to[1] - 1))).alias("_p")
+    spark, cells = pixels.sparkSession, to[0] * to[1]
+    once = cells * {"nearest": 1, "bilinear": 4}.get(kind, 16) <= layout.BROADCAST_ROWS
+    by, on = ([], ["y", "x"]) if once else (["image_id"], ["image_id", "y", "x"])
     px, py = F.col("dx") + 0.5, F.col("dy") + 0.5
-    g = pixels.select("image_id").distinct().select("image_id", cells)
-    g = g.select("image_id", F.floor(F.col("_p") / to[0]).alias("dy"), (F.col("_p") % to[0]).cast("long").alias("dx"))
-    g = g.select("image_id", "dy", "dx", (px * m[0] + py * m[1] + m[2]).alias("sx"), (px * m[3] + py * m[4] + m[5]).alias("sy"))
+    g = spark.range(0, cells, 1, 1).withColumnRenamed("id", "_p") if once else pixels.select("image_id").distinct().select("image_id", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("_p"))
+    g = g.select(*by, F.floor(F.col("_p") / to[0]).alias("dy"), (F.col("_p") % to[0]).cast("long").alias("dx"))
+    g = g.select(*by, "dy", "dx", (px * m[0] + py * m[1] + m[2]).alias("sx"), (px * m[3] + py * m[4] + m[5]).alias("sy"))
     g = g.where(F.col("sx").between(0, size[0]) & F.col("sy").between(0, size[1]))
     edge = lambda e, n: F.least(F.greatest(e.cast("long"), F.lit(0)), F.lit(n - 1))
     if kind == "nearest":
-        taps = g.select("image_id", "dy", "dx", edge(F.floor("sy"), size[1]).alias("y"), edge(F.floor("sx"), size[0]).alias("x"), F.lit(1.0).alias("w"))
+        taps = g.select(*by, "dy", "dx", edge(F.floor("sy"), size[1]).alias("y"), edge(F.floor("sx"), size[0]).alias("x"), F.lit(1.0).alias("w"))
     else:
         near = [0, 1] if kind == "bilinear" else [-1, 0, 1, 2]
         off = F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.lit(i).alias("i")) for j in near for i in near])).alias("o")
         u, v = F.col("sx") - 0.5, F.col("sy") - 0.5
-        g = g.select("image_id", "dy", "dx", u.alias("u"), v.alias("v"), off).select("image_id", "dy", "dx", "u", "v", (F.floor("u") + F.col("o.i")).alias("qx"), (F.floor("v") + F.col("o.j")).alias("qy"))
+        g = g.select(*by, "dy", "dx", u.alias("u"), v.alias("v"), off).select(*by, "dy", "dx", "u", "v", (F.floor("u") + F.col("o.i")).alias("qx"), (F.floor("v") + F.col("o.j")).alias("qy"))
 
         def weigh(t):
             t = F.abs(t)
             return 1 - t if kind == "bilinear" else F.when(t < 1, t * t * t * 1.5 - t * t * 2.5 + 1).otherwise(t * t * t * -0.5 + t * t * 2.5 - t * 4 + 2)
 
-        taps = g.select("image_id", "dy", "dx", edge(F.col("qy"), size[1]).alias("y"), edge(F.col("qx"), size[0]).alias("x"), (weigh(F.col("qy") - F.col("v")) * weigh(F.col("qx") - F.col("u"))).alias("w"))
-    hit = pixels.join(taps, ["image_id", "y", "x"]).groupBy("image_id", F.col("dy").alias("y"), F.col("dx").alias("x"), "c").agg(as_u8(F.round(F.sum(F.col("v") * F.col("w")), 6)).alias("v"))
-    return pad(hit, to, channels, (0, 0), fill or [0] * channels)
+        taps = g.select(*by, "dy", "dx", edge(F.col("qy"), size[1]).alias("y"), edge(F.col("qx"), size[0]).alias("x"), (weigh(F.col("qy") - F.col("v")) * weigh(F.col("qx") - F.col("u"))).alias("w"))
+    hit = pixels.join(F.broadcast(taps) if once else sorted_join(taps), on).groupBy("image_id", F.col("dy").alias("y"), F.col("dx").alias("x"), "c").agg(as_u8(F.round(F.sum(F.col("v") * F.col("w")), 6)).alias("v"))
+    return pad(hit, to, channels, (0, 0), fill or [0] * channels, pixels)
 
 
 def premultiplied(pixels: DataFrame, back: bool = False) -> DataFrame:

@@ -18,6 +18,11 @@ def small_table(df: DataFrame, rows: Iterable[tuple], schema: str) -> DataFrame:
     return F.broadcast(out) if len(rows) <= BROADCAST_ROWS else out
 
 
+def sorted_join(pixels: DataFrame) -> DataFrame:
+    """A table of samples as a side of a join that sorts: Spark takes what it explodes for as small as its source and would broadcast it."""
+    return pixels.hint("merge")
+
+
 def field(df: DataFrame, id_col: str, array_col: str) -> DataFrame:
     """(image_id, pos, v) of a flat array."""
     out = df.select(F.col(id_col).alias("image_id"), F.posexplode(array_col).alias("pos", "v"))

@@ -700,7 +700,7 @@ _NCC = f"WITH {PLANE} SELECT p.image_id // 2 AS image_id, round(sqrt(avg((q.v -
 @query("x9_measure", _NCC)
 def x9(spark, sf):
     a, b = _pairs(plane(spark, sf).drop("c"))
-    pairs = a.withColumnRenamed("v", "r").join(b.withColumnRenamed("v", "m"), ["image_id", "y", "x"])
+    pairs = a.withColumnRenamed("v", "r").join(L.sorted_join(b.withColumnRenamed("v", "m")), ["image_id", "y", "x"])
     return rounded(X.measure(pairs), "rms", "ncc")
 
 
