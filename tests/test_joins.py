@@ -31,6 +31,10 @@ def test_bicubic_warp_broadcasts_no_samples(spark, sf):
     no_samples_broadcast(spark, sf, "g19_warp_bicubic")
 
 
+def test_bilinear_warp_broadcasts_no_samples(spark, sf):
+    no_samples_broadcast(spark, sf, "g19_warp_bilinear")
+
+
 @pytest.mark.parametrize("name", ["g10_letterbox_u8", "g11_pad_u8", "x1_compare", "x2_ssim", "x6_coarse_motion", "x9_measure"])
 def test_the_same_step_broadcasts_no_samples(spark, sf, name):
     no_samples_broadcast(spark, sf, name)
