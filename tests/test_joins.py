@@ -35,6 +35,10 @@ def test_bilinear_warp_broadcasts_no_samples(spark, sf):
     no_samples_broadcast(spark, sf, "g19_warp_bilinear")
 
 
+def test_nearest_warp_broadcasts_no_samples(spark, sf):
+    no_samples_broadcast(spark, sf, "g19_warp_nearest")
+
+
 @pytest.mark.parametrize("name", ["g10_letterbox_u8", "g11_pad_u8", "x1_compare", "x2_ssim", "x6_coarse_motion", "x9_measure"])
 def test_the_same_step_broadcasts_no_samples(spark, sf, name):
     no_samples_broadcast(spark, sf, name)
