@@ -186,6 +186,38 @@ def _halved(p: np.ndarray) -> np.ndarray:
     return (q[::2, ::2] + q[1::2, ::2] + q[::2, 1::2] + q[1::2, 1::2]) / 4
 
 
+def _edged(p: np.ndarray) -> np.ndarray:
+    """p with its edge repeated once all round, flat, for `_taken`."""
+    h, w = p.shape
+    return p[np.clip(np.arange(-1, h + 1), 0, h - 1)][:, np.clip(np.arange(-1, w + 1), 0, w - 1)].ravel()
+
+
+def _taken(planes: list[np.ndarray], w: int, x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+    """What `_bilinear` samples of each plane of width w (by `_edged`), at places that are all on it."""
+    u, v = x - 0.5, y - 0.5
+    x0, y0 = np.floor(u), np.floor(v)
+    fx, fy = u - x0, v - y0
+    gx, gy = 1 - fx, 1 - fy
+    at = ((y0 + 1) * (w + 2) + (x0 + 1)).astype(np.intp)
+    right, low, last = at + 1, at + (w + 2), at + (w + 3)
+    return [(p.take(at) * gx + p.take(right) * fx) * gy + (p.take(low) * gx + p.take(last) * fx) * fy for p in planes]
+
+
+def _median(v: np.ndarray) -> float:
+    k = v.size // 2
+    if v.size % 2:
+        return np.partition(v, k)[k]
+    p = np.partition(v, (k - 1, k))
+    return (p[k - 1] + p[k]) / 2
+
+
+def _ncc(a: np.ndarray, b: np.ndarray, flat: float) -> float:
+    """Pearson's correlation; `flat` where either does not vary."""
+    a, b = a - a.mean(), b - b.mean()
+    va, vb = a @ a, b @ b
+    return flat if va == 0 or vb == 0 else float(max(min(a @ b / (math.sqrt(va) * math.sqrt(vb)), 1.0), -1.0))
+
+
 #: A pyramid level's shorter side, and the mask's pixels, are this many at least.
 LEAST_SIDE, LEAST_PIXELS = 24, 16
 ALIGNED = "scale rotation tx ty gain bias rms ncc coverage".split()
@@ -219,48 +251,53 @@ def align_pair(
         r, m, counts = planes[k]
         h, w = r.shape
         yy, xx = np.mgrid[:h, :w] + 0.5
-        dx, dy = xx - w / 2, yy - h / 2
+        dx, dy, flat, counts = (xx - w / 2).ravel(), (yy - h / 2).ravel(), r.ravel(), counts.ravel()
+        known, edged = int(counts.sum()), [_edged(p) for p in (m, *np.gradient(m))]
+
+        def turned(a, b):
+            return w / 2 + (1 + a) * dx - b * dy, h / 2 + b * dx + (1 + a) * dy  # noqa: B023
 
-        def warped(a, b, tx, ty):
-            s, on = _bilinear(m, w / 2 + (1 + a) * dx - b * dy + tx, h / 2 + b * dx + (1 + a) * dy + ty)  # noqa: B023
-            return s, on & counts  # noqa: B023
+        def placed(x, y):
+            """The pixels that count and are on the moved plane, with their places there."""
+            at = np.flatnonzero((x >= 0) & (y >= 0) & (x <= m.shape[1]) & (y <= m.shape[0]) & counts)  # noqa: B023
+            return at, x[at], y[at]
 
         def score(tx, ty):
-            s, on = warped(a, b, tx, ty)  # noqa: B023
-            if 2 * on.sum() < counts.sum() or s[on].std() == 0 or r[on].std() == 0:  # noqa: B023
-                return -2.0
-            return float(np.corrcoef(s[on], r[on])[0, 1])  # noqa: B023
+            at, x, y = placed(still[0] + tx, still[1] + ty)  # noqa: B023
+            return -2.0 if 2 * at.size < known else _ncc(_taken(edged[:1], m.shape[1], x, y)[0], flat[at], -2.0)  # noqa: B023
 
         if k == top and search:
+            still = turned(a, b)
             best = max((score(tx + i, ty + j), -j, -i) for j in range(-search, search + 1) for i in range(-search, search + 1))
             tx, ty = tx - best[2], ty - best[1]
-        gy, gx = np.gradient(m)
         free = np.array([similarity, similarity, True, True, photometric, photometric])
         converged = False
         for _ in range(iterations):
-            s, on = warped(a, b, tx, ty)
-            if on.sum() < LEAST_PIXELS:
+            x, y = turned(a, b)
+            at, x, y = placed(x + tx, y + ty)
+            if at.size < LEAST_PIXELS:
                 break
-            qx, qy = w / 2 + (1 + a) * dx - b * dy + tx, h / 2 + b * dx + (1 + a) * dy + ty
-            sx, sy = (_bilinear(g, qx, qy)[0] for g in (gx, gy))
-            e = gain * s + bias - r
-            J = np.stack([gain * (sx * dx + sy * dy), gain * (-sx * dy + sy * dx), gain * sx, gain * sy, s, np.ones_like(s)], -1)[on][:, free]
-            ee = e[on]
-            cut = max(1e-4, 1.345 * 1.4826 * np.median(np.abs(ee - np.median(ee))))
-            weight = np.minimum(1.0, cut / np.maximum(np.abs(ee), 1e-12))
-            A = (J * weight[:, None]).T @ J
+            s, sy, sx = _taken(edged, m.shape[1], x, y)
+            ox, oy = dx[at], dy[at]
+            ee = gain * s + bias - flat[at]
+            J = np.stack([gain * (sx * ox + sy * oy), gain * (-sx * oy + sy * ox), gain * sx, gain * sy, s, np.ones_like(s)])[free]
+            cut = max(1e-4, 1.345 * 1.4826 * _median(np.abs(ee - _median(ee))))
+            weighed = J * np.minimum(1.0, cut / np.maximum(np.abs(ee), 1e-12))
+            A = weighed @ J.T
             step = np.zeros(6)
-            step[free] = np.linalg.lstsq(A + np.diag(np.diag(A)) * 1e-6, -(J * weight[:, None]).T @ ee, rcond=None)[0]
-            a, b, tx, ty, gain, bias = (p + d for p, d in zip((a, b, tx, ty, gain, bias), step))
+            step[free] = np.linalg.lstsq(A + np.diag(np.diag(A)) * 1e-6, -weighed @ ee, rcond=None)[0]
+            a, b, tx, ty, gain, bias = (p + d for p, d in zip((a, b, tx, ty, gain, bias), step.tolist()))
             steps += 1
             if max(abs(step[2]), abs(step[3]), abs(step[0]) * w, abs(step[1]) * w) < tolerance:
                 converged = True
                 break
-        s, on = warped(a, b, tx, ty)
-        if on.any():
-            e = gain * s[on] + bias - r[on]
-            rms, cover = float(np.sqrt((e * e).mean())), float(on.sum() / counts.sum())
-            ncc = float(np.corrcoef(s[on], r[on])[0, 1]) if s[on].std() and r[on].std() else 0.0
+        x, y = turned(a, b)
+        at, x, y = placed(x + tx, y + ty)
+        if at.size:
+            s = _taken(edged[:1], m.shape[1], x, y)[0]
+            e = gain * s + bias - flat[at]
+            rms, cover = float(np.sqrt((e * e).mean())), float(at.size / known)
+            ncc = _ncc(s, flat[at], 0.0)
         if k:
             tx, ty = 2 * tx, 2 * ty
     return {"scale": math.hypot(1 + a, b), "rotation": math.atan2(b, 1 + a), "tx": tx, "ty": ty, "gain": gain, "bias": bias, "rms": rms, "ncc": ncc, "coverage": cover, "iterations": steps, "converged": converged}

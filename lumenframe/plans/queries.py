@@ -6,6 +6,8 @@ channels; bytes are floor(clamp(v * 255 + 127.5) + 0.5).
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
@@ -647,17 +649,28 @@ def x6(spark, sf):
 
 
 def _texture(x, y):
-    return F.sin(x * 0.11 + y * 0.04) * 42 + F.sin(y * 0.14 - x * 0.05) * 38 + F.sin(x * 0.33 + y * 0.27) * 22 + F.sin(y * 0.45 - x * 0.38) * 14 + 128
+    return np.sin(x * 0.11 + y * 0.04) * 42 + np.sin(y * 0.14 - x * 0.05) * 38 + np.sin(x * 0.33 + y * 0.27) * 22 + np.sin(y * 0.45 - x * 0.38) * 14 + 128
 
 
 def _frame_pairs(rows, n, dx, dy):
-    """rows (pair_id) with two frames of n x n from one formula, other for each pair, the second moved by dx, dy."""
+    """rows (pair_id) with two frames of n x n from one formula, other for each pair, the second moved by dx, dy.
 
-    def frame(mx, my):
-        at = lambda p: _texture(p % n - mx + F.col("pair_id") * 5, F.floor(p / n) - my + F.col("pair_id") * 3)
-        return F.transform(F.sequence(F.lit(0), F.lit(n * n - 1)), lambda p: L.as_u8(at(p)).cast("int"))
+    Made in Arrow batches, some MB at a time: sines in lambdas of Columns took as long as the operators.
+    """
 
-    return rows.select("pair_id", F.lit(n).alias("width"), frame(F.lit(0), F.lit(0)).alias("a"), frame(dx, dy).alias("b"))
+    def frames(ids, mx, my):
+        at = lambda o: (np.arange(n) + o[:, None]).astype(float)
+        v = _texture(at(ids * 5 - mx)[:, None, :], at(ids * 3 - my)[:, :, None])
+        return list(np.floor(np.clip(v, 0, 255) + 0.5).astype(np.int32).reshape(len(ids), -1))
+
+    def run(batches):
+        some = max(1, 2**18 // (n * n))
+        for f in batches:
+            for k in range(0, len(f), some):
+                ids, mx, my = f[k : k + some].to_numpy(np.int64).T
+                yield pd.DataFrame({"pair_id": ids, "width": n, "a": frames(ids, 0 * mx, 0 * my), "b": frames(ids, mx, my)})
+
+    return rows.select("pair_id", dx.cast("long").alias("dx"), dy.cast("long").alias("dy")).mapInPandas(run, "pair_id long, width int, a array<int>, b array<int>")
 
 
 def _nations(spark, sf):
@@ -687,7 +700,9 @@ def x7(spark, sf):
 def x8(spark, sf):
     """A pair an embedding, moved by up to two pixels each way."""
     k = F.col("pair_id")
-    t = _frame_pairs(table(spark, sf, "embeddings").select(F.col("vec_id").alias("pair_id")), 48, k % 5 - 2, k % 3 - 1)
+    ids = table(spark, sf, "embeddings").select(F.col("vec_id").alias("pair_id"))
+    ids = ids.repartition(max(32, 3 * spark.sparkContext.defaultParallelism), "pair_id")  # the work is in the pairs, not in the bytes read
+    t = _frame_pairs(ids, 48, k % 5 - 2, k % 3 - 1)
     unit = lambda c: F.transform(c, lambda v: v / 255.0)
     got = X.align_similarity(t.select("pair_id", "width", unit("a").alias("ref"), unit("b").alias("mov")), search=2)
     whole = lambda c, k: F.round(F.col(c) * k).cast("long").alias(c)

@@ -1,8 +1,10 @@
-"""Tables of samples are never broadcast, however small Spark takes them for."""
+"""How the work is laid out: no table of samples is broadcast, however small Spark takes it for; solvers use all cores."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lumenframe.operators import analysis as X
 from lumenframe.operators import geometry as G
 from lumenframe.operators import layout as L
 from lumenframe.plans import queries as P
@@ -57,3 +59,17 @@ def test_warp_with_many_taps(spark, sf, kind, monkeypatch):
 def test_warp_of_what_lies_outside_is_the_fill(spark, sf):
     got = G.warp_affine_u8(P.plane8(spark, sf).where("image_id < 3"), (8, 8), (7, 6), [1, 0, 100, 0, 1, 100], 1, "bilinear", [77])
     assert got.groupBy("v").agg(F.count("*")).collect() == [(77, 3 * 42)]
+
+
+def test_alignment_uses_all_cores_however_few_files(spark, sf):
+    assert P.QUERIES["x8_align"](spark, sf).rdd.getNumPartitions() >= 32
+
+
+def test_samples_by_flat_places_are_the_bilinear_ones():
+    rng = np.random.default_rng(0)
+    p, q = rng.random((2, 9, 7))
+    x, y = rng.random(500) * 7, rng.random(500) * 9
+    x[:4], y[:4] = (0, 7, 0, 7), (0, 0, 9, 9)
+    for one, got in zip((p, q), X._taken([X._edged(p), X._edged(q)], 7, x, y)):
+        want, on = X._bilinear(one, x, y)
+        assert on.all() and (got == want).all()
